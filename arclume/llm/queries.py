@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclume.llm import distinct, frequent, overlap
+from arclume.llm import distinct, frequent, leaks, overlap, packing, sentences
 from arclume.oracle import edges_sql, key_sql, nodes_sql
 from arclume.sources.tables import table, tables
 
@@ -49,7 +49,32 @@ def p4_combinations(spark: SparkSession, at: str) -> DataFrame:
     return distinct.audit_statistics(distinct.inserted_keys(nodes, domains), stats)
 
 
-QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_combinations": p4_combinations}
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    return packing.pack_documents(table(spark, at, "documents")).filter("pieces > 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, at: str) -> DataFrame:
+    return packing.pack_documents(table(spark, at, "documents"))
+
+
+def p7_found(spark: SparkSession, at: str) -> DataFrame:
+    return p7_coverage(spark, at).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, at: str) -> DataFrame:
+    documents, items = tables(spark, at, "documents", "test_items")
+    return leaks.find_leaks(documents, items)
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, at, "documents")).select("doc_id", "sent_end")
+
+
+def p8_sentences(spark: SparkSession, at: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, at, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_combinations": p4_combinations, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _SOURCES = f"SELECT e.relation_id, {key_sql('e.src_key', 'd.key_type')} AS src_key FROM edge_deltas e JOIN graph_relations r USING (relation_id) JOIN graph_domains d ON d.domain_id = r.src_domain_id"
 _SETS = f"""m AS (SELECT DISTINCT relation_id, src, tgt FROM ({edges_sql("e.op = 'I'")}) x WHERE src IS NOT NULL AND tgt IS NOT NULL
