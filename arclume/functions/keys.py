@@ -49,12 +49,22 @@ def canonical_key(key: Column, key_type: Column) -> Column:
     return F.when(key_type == "uuid", uuid).when(key_type.isin("int32", "int64"), integer).when(key_type == "bytes", octets).otherwise(nfc(trimmed))
 
 
-def with_canonical_nodes(nodes: DataFrame, domains: DataFrame, out: str = "key") -> DataFrame:
-    """``nodes`` with the canonical ``node_key`` as ``out``. Rows of an unknown domain are taken as strings.
+#: Rows of a catalog of relations or domains up to which it is broadcast; a larger one is joined as the planner likes.
+CATALOG_ROWS = 100_000
+
+
+def small_catalog(df: DataFrame, limit: int = CATALOG_ROWS) -> DataFrame:
+    """``df`` read once to the driver and marked for broadcast, if it has no more than ``limit`` rows; else as it is.
 
-    ``domains`` is the catalog of domains, a few rows per graph; the planner broadcasts it by its size.
+    Estimates of joined catalogs are products of their sizes, which would send all rows of a log through a shuffle by relation.
     """
-    kinds = domains.select(F.col("domain_id").alias("_domain_id"), F.col("key_type").alias("_key_type")).dropDuplicates(["_domain_id"])
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def with_canonical_nodes(nodes: DataFrame, domains: DataFrame, out: str = "key") -> DataFrame:
+    """``nodes`` with the canonical ``node_key`` as ``out``. Rows of an unknown domain are taken as strings."""
+    kinds = small_catalog(domains.select(F.col("domain_id").alias("_domain_id"), F.col("key_type").alias("_key_type")).dropDuplicates(["_domain_id"]))
     joined = nodes.join(kinds, F.col("domain_id") == F.col("_domain_id"), "left")
     return joined.withColumn(out, canonical_key(F.col("node_key"), F.coalesce("_key_type", F.lit("string")))).drop("_domain_id", "_key_type")
 
@@ -68,7 +78,7 @@ def with_canonical_edges(edges: DataFrame, relations: DataFrame, domains: DataFr
     for s in sides:
         kinds = domains.select(F.col("domain_id").alias(f"_{s}_id"), F.col("key_type").alias(f"_{s}_type")).dropDuplicates([f"_{s}_id"])
         wide = wide.join(kinds, F.col(f"{s}_domain") == F.col(f"_{s}_id"), "left").drop(f"_{s}_id")
-    joined = edges.join(wide, F.col("relation_id") == F.col("_relation_id"), how)
+    joined = edges.join(small_catalog(wide), F.col("relation_id") == F.col("_relation_id"), how)
     for s in sides:
         joined = joined.withColumn(s, canonical_key(F.col(f"{s}_key"), F.coalesce(f"_{s}_type", F.lit("string"))))
     return joined.drop("_relation_id", *[f"_{s}_type" for s in sides])
