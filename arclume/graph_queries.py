@@ -1,2 +1,576 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the graph operators over the test tables, and SQL for each."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arclume import api
+from arclume.operators import algorithms, statistics, walks
+from arclume.plans import sexpr
+from arclume.sources.snapshot import GraphSnapshot
+from arclume.sources.tables import table
+from arclume.streaming import deltas
+
+#: Part-to-part co-purchase edges between parts with small keys, as a homogeneous graph.
+SMALL = 300
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def graph(spark: SparkSession, at: str) -> GraphSnapshot:
+    """Customers, orders, parts, suppliers, nations, regions, users and events as domains; what links them as relations."""
+    t = lambda n: table(spark, at, n)
+    users = t("events").select(F.col("user_id").alias("id")).distinct()
+    g = GraphSnapshot(spark)
+    for name, nodes, key in (
+        ("Customer", t("customer"), "c_custkey"), ("Order", t("orders"), "o_orderkey"), ("Part", t("part"), "p_partkey"), ("Supplier", t("supplier"), "s_suppkey"),
+        ("Nation", t("nation"), "n_nationkey"), ("Region", t("region"), "r_regionkey"), ("User", users, "id"), ("Event", t("events"), "event_id"),
+    ):
+        g = g.with_domain(name, nodes, key)
+    line = t("lineitem")
+    g = g.with_relation("PLACED", "Customer", "Order", t("orders"), "o_custkey", "o_orderkey", "1:N")
+    g = g.with_relation("CONTAINS", "Order", "Part", line, "l_orderkey", "l_partkey")
+    g = g.with_relation("SHIPPED_BY", "Order", "Supplier", line, "l_orderkey", "l_suppkey")
+    g = g.with_relation("SUPPLIES", "Supplier", "Part", line, "l_suppkey", "l_partkey")
+    g = g.with_relation("LIVES_IN", "Customer", "Nation", t("customer"), "c_custkey", "c_nationkey", "N:1")
+    g = g.with_relation("BASED_IN", "Supplier", "Nation", t("supplier"), "s_suppkey", "s_nationkey", "N:1")
+    g = g.with_relation("IN_REGION", "Nation", "Region", t("nation"), "n_nationkey", "n_regionkey", "N:1")
+    kinds = ("click", "error", "purchase", "signup", "view")
+    for k in kinds:
+        g = g.with_relation(f"PERFORMED_{k}", "User", "Event", t("events").filter(F.col("event_type") == k), "user_id", "event_id", "1:N")
+    return g.with_virtual_relation("PERFORMED", [f"PERFORMED_{k}" for k in kinds]).with_label("bulk", "edge.l_quantity > 40").with_label("cheap", "node.p_retailprice < 950")
+
+
+def links(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, weight) between consecutive parts of an order with keys below SMALL, and those parts."""
+    line = table(spark, at, "lineitem").filter(F.col("l_partkey") < SMALL).select("l_orderkey", "l_partkey")
+    pairs = line.alias("a").join(line.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey")
+    edges = pairs.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return edges, table(spark, at, "part").filter(F.col("p_partkey") < SMALL).select(F.col("p_partkey").alias("id"))
+
+
+LINKS = f"""e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+WHERE a.l_partkey < {SMALL} AND b.l_partkey < {SMALL} GROUP BY ALL), v AS (SELECT p_partkey AS id FROM part WHERE p_partkey < {SMALL}),
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"""
+
+
+# walks
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7 AND l_quantity > 25")
+def walk_2hop_filtered(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(7).out("PLACED").out("CONTAINS", "edge.l_quantity > 25").df()
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 50")
+def walk_fused_2hop(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(range(50)).out2("PLACED", "CONTAINS").df()
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 11")
+def walk_reverse(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Part").from_(11).in_("CONTAINS").in_("PLACED").df()
+
+
+@query("""WITH p AS (SELECT DISTINCT l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7),
+o AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN p USING (l_partkey)) SELECT DISTINCT o_custkey AS id FROM orders JOIN o ON l_orderkey = o_orderkey""")
+def walk_4hop_metapath(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(7).out("PLACED").out("CONTAINS").in_("CONTAINS").in_("PLACED").df()
+
+
+@query("SELECT DISTINCT o_custkey AS seed, l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1998-01-01'")
+def screen_all_customers(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    start = g.domain("Customer").batch(g.domain_of("Customer").nodes)
+    return start.out("PLACED").out("SHIPPED_BY", "edge.l_shipdate >= 883612800000000").df()
+
+
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS seed, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50),
+b AS (SELECT DISTINCT seed, l_suppkey AS s FROM f JOIN lineitem ON l_partkey = p AND l_discount = 0.0), n AS (SELECT DISTINCT seed, s_nationkey AS n FROM b JOIN supplier ON s_suppkey = s)
+SELECT DISTINCT seed, n_regionkey AS id FROM n JOIN nation ON n_nationkey = n""")
+def screen_5hop_regions(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    start = g.domain("Customer").batch(g.domain_of("Customer").nodes)
+    return start.out("PLACED").out("CONTAINS", "edge.l_quantity >= 50").in_("SUPPLIES", "edge.l_discount == 0.0").out("BASED_IN").out("IN_REGION").df()
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 20 AND l_quantity > 40 AND p_retailprice < 950")
+def walk_labelled(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(range(20)).out("PLACED").label("bulk", "CONTAINS").label("cheap").df()
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (3, 5, 8) UNION SELECT l_orderkey FROM lineitem WHERE l_partkey = 4")
+def seeds_union(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return g.domain("Customer").from_(3, 5, 8).out("PLACED").union(g.domain("Part").from_(4).in_("CONTAINS")).df()
+
+
+def _parts_of(g: GraphSnapshot, c: int) -> api.Traversal:
+    return g.domain("Customer").from_(c).out("PLACED").out("CONTAINS")
+
+
+_PARTS = "SELECT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = {}"
+
+
+@query(f"{_PARTS.format(7)} INTERSECT {_PARTS.format(11)}")
+def mutual_intersect(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return _parts_of(g, 7).intersect(_parts_of(g, 11)).df()
+
+
+@query(f"{_PARTS.format(7)} EXCEPT {_PARTS.format(11)}")
+def exclusive_difference(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return _parts_of(g, 7).difference(_parts_of(g, 11)).df()
+
+
+@query(f"SELECT NOT EXISTS ({_PARTS.format(7)} EXCEPT SELECT p_partkey FROM part) AS stable")
+def subset_check(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return walks.is_subset(_parts_of(g, 7).df(), g.domain("Part").all().df())
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id = 5 AND value > 100")
+def coproduct_walk(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("User").from_(5).out("PERFORMED", "edge.value > 100").df()
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id < 10 AND event_type = 'click'")
+def coproduct_pruned(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("User").from_(range(10)).out("PERFORMED", "edge.component == 'PERFORMED_click'").df()
+
+
+@query("SELECT c_custkey AS id, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def degree_out(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return walks.degree(g.relation("PLACED").edges, g.domain_of("Customer").nodes)
+
+
+@query("SELECT p_partkey AS id, count(l_orderkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def degree_in(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return walks.degree(g.relation("CONTAINS").edges, g.domain_of("Part").nodes, "in")
+
+
+@query("SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS position, l_partkey AS neighbor FROM lineitem")
+def neighbor_list(spark: SparkSession, at: str) -> DataFrame:
+    return walks.neighbors(graph(spark, at).relation("CONTAINS").edges)
+
+
+@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT dst AS id, 1 AS n FROM e WHERE src = 1 UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w""")
+def varlen_1_3(spark: SparkSession, at: str) -> DataFrame:
+    return _homogeneous(spark, at).domain("P").from_(1).out_between("LINK", 1, 3).df()
+
+
+def _homogeneous(spark: SparkSession, at: str) -> GraphSnapshot:
+    edges, nodes = links(spark, at)
+    return GraphSnapshot(spark).with_domain("P", nodes).with_relation("LINK", "P", "P", edges)
+
+
+@query("SELECT s_suppkey AS id, s_name AS key FROM supplier WHERE s_suppkey % 3 = 0")
+def keys_roundtrip(spark: SparkSession, at: str) -> DataFrame:
+    g = GraphSnapshot(spark).with_domain("S", table(spark, at, "supplier"), "s_suppkey", "s_name")
+    keys = g.domain_of("S").nodes.filter("id % 3 = 0").select("key")
+    return g.id_to_key("S", g.key_to_id("S", keys).select("id"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7")
+def collect_count(spark: SparkSession, at: str) -> DataFrame:
+    return _parts_of(graph(spark, at), 7).collect("count")
+
+
+@query("SELECT count(*) > 0 AS \"exists\" FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
+def collect_exists(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(7).out("PLACED", "edge.o_totalprice > 1000").collect("exists")
+
+
+@query(f"SELECT min(id) AS id FROM ({_PARTS.format(7)})")
+def collect_first(spark: SparkSession, at: str) -> DataFrame:
+    return _parts_of(graph(spark, at), 7).collect("first")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey < 100) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 40)")
+def pull_walk(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return walks.pull(g.relation("CONTAINS").edges, g.domain("Order").all().filter("id < 40").df(), g.domain("Part").all().filter("id >= 100").df())
+
+
+@query("SELECT l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (1, 2) GROUP BY 1 HAVING count(DISTINCT l_orderkey) = (SELECT count(*) FROM orders WHERE o_custkey IN (1, 2))")
+def walk_universal(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(1, 2).out("PLACED").out("SHIPPED_BY", reducer="AND").df()
+
+
+# expressions
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'BUILDING' OR c_nationkey = 3")
+def cel_node_filter(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").all().filter("node.c_acctbal > 5000 && node.c_mktsegment != 'BUILDING' || node.c_nationkey == 3").df()
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id < 20 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
+def cel_edge_time_window(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("User").from_(range(20)).out("PERFORMED", "edge.ts >= 1704412800000000 && edge.ts < 1705017600000000").df()
+
+
+@query("SELECT p_partkey AS id FROM part WHERE (CASE WHEN p_size > 25 THEN p_retailprice ELSE p_retailprice * 2 END) < 1000")
+def cel_ternary(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Part").all().filter("(node.p_size > 25 ? node.p_retailprice : node.p_retailprice * 2) < 1000").df()
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey IN (1, 4, 9) AND s_name LIKE 'Supplier%'")
+def cel_in_list(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Supplier").all().filter("node.s_nationkey in [1, 4, 9] && node.s_name.startsWith('Supplier')").df()
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 12 AND l_discount <= 0.05 AND l_returnflag = 'R'")
+def cel_params(spark: SparkSession, at: str) -> DataFrame:
+    t = graph(spark, at).domain("Customer").from_param("who").out("PLACED").out("CONTAINS", "edge.l_discount <= @most && edge.l_returnflag == @flag")
+    return t.with_param("most", 0.05).with_param("flag", "R").df(who=12)
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 30 AND l_extendedprice > p_retailprice * 20 AND o_totalprice > 50000 AND p_size > l_linenumber")
+def cel_all_scopes(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").from_(range(30)).out("PLACED").out("CONTAINS", "edge.l_extendedprice > dest.p_retailprice * 20 && src.o_totalprice > 50000 && node.p_size > edge.l_linenumber").df()
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 = 3 AND CAST(trunc(o_orderkey / 10) AS BIGINT) % 2 = 0")
+def cel_integer_math(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Order").all().filter("node.id % 7 == 3 && node.id / 10 % 2 == 0").df()
+
+
+_MATH = {
+    "abs(x - 25.0)": "abs(x - 25.0)", "sqrt(x)": "sqrt(x)", "rsqrt(x + 1.0)": "1 / sqrt(x + 1.0)", "cbrt(x)": "cbrt(x)", "pow(x, 1.5)": "pow(x, 1.5)", "hypot(x, 3.0)": "sqrt(x * x + 9)", "lerp(x, 10.0, 0.25)": "x + (10 - x) * 0.25",
+    "exp(x / 50.0)": "exp(x / 50)", "exp2(x / 10.0)": "pow(2, x / 10)", "exp10(x / 50.0)": "pow(10, x / 50)", "expm1(x / 50.0)": "exp(x / 50) - 1", "log(x + 1.0)": "ln(x + 1)", "log2(x + 1.0)": "log2(x + 1)", "log10(x + 1.0)": "log10(x + 1)",
+    "log1p(x)": "ln(1 + x)", "sin(x)": "sin(x)", "cos(x)": "cos(x)", "tan(x / 40.0)": "tan(x / 40)", "asin(x / 60.0)": "asin(x / 60)", "acos(x / 60.0)": "acos(x / 60)", "atan(x)": "atan(x)", "atan2(x, 2.0)": "atan2(x, 2)", "sinc(x)": "CASE WHEN x = 0 THEN 1 ELSE sin(x) / x END",
+    "sinh(x / 20.0)": "sinh(x / 20)", "cosh(x / 20.0)": "cosh(x / 20)", "tanh(x / 20.0)": "tanh(x / 20)", "asinh(x)": "asinh(x)", "acosh(x + 1.0)": "acosh(x + 1)", "atanh(x / 60.0)": "atanh(x / 60)", "floor(x / 3.0)": "floor(x / 3)", "ceil(x / 3.0)": "ceil(x / 3)",
+    "trunc(x / 3.0 - 8.0)": "trunc(x / 3 - 8)", "round(x / 4.0)": "floor(x / 4 + 0.5)", "clamp(x, 10.0, 20.0)": "least(greatest(x, 10), 20)", "copysign(x, x - 25.0)": "CASE WHEN x - 25 < 0 THEN -abs(x) ELSE abs(x) END", "fmod(x, 7.0)": "x - 7 * trunc(x / 7)",
+    "relu(x - 25.0)": "greatest(x - 25, 0)", "leaky_relu(x - 25.0)": "CASE WHEN x > 25 THEN x - 25 ELSE 0.01 * (x - 25) END", "sigmoid(x - 25.0)": "1 / (1 + exp(25 - x))", "silu(x - 25.0)": "(x - 25) / (1 + exp(25 - x))", "softplus(x - 25.0)": "greatest(x - 25, 0) + ln(1 + exp(-abs(x - 25)))",
+    "popcount(n)": "bit_count(n)", "clz(n)": "CASE WHEN n = 0 THEN 64 ELSE 63 - floor(log2(n)) END", "ctz(n)": "CASE WHEN n = 0 THEN 64 ELSE length(bin(n)) - length(rtrim(bin(n), '0')) END", "rotl(n, 3)": "n * 8", "rotr(rotl(n, 5), 2)": "n * 8",
+    "safeDiv(x, x - 25.0)": "CASE WHEN x = 25 THEN 0 ELSE x / (x - 25) END", "isNan(x) ? 1 : 0": "0", "isInf(x) ? 1 : 0": "0", "isFinite(x) ? 1 : 0": "1",
+}
+
+
+def _math(part: list[tuple[str, str]]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, at: str) -> DataFrame:
+        nodes = table(spark, at, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_size").cast("long").alias("n"))
+        g = GraphSnapshot(spark).with_domain("P", nodes)
+        done = g.domain("P").all().project(", ".join(f"state.f{i} = {c}" for i, (c, _) in enumerate(part))).df()
+        return done.select("id", *[(F.round(F.col(f"f{i}").cast("double"), 6) + 0.0).alias(f"f{i}") for i in range(len(part))])
+
+    return run
+
+
+for _k in range(0, len(_MATH), 13):
+    _part = list(_MATH.items())[_k : _k + 13]
+    _cols = ", ".join(f"round(CAST({s} AS DOUBLE), 6) + 0.0 AS f{i}" for i, (_, s) in enumerate(_part))
+    query(f"SELECT id, {_cols} FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, CAST(p_size AS BIGINT) AS n FROM part)", f"cel_math_{_k // 13 + 1}")(_math(_part))
+
+
+@query(name="cel_math_special")
+def cel_math_special(spark: SparkSession, at: str) -> DataFrame:
+    nodes = table(spark, at, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 25.0).cast("double").alias("x"))
+    return GraphSnapshot(spark).with_domain("P", nodes).domain("P").all().project("state.erf = erf(x), state.erfc = erfc(x), state.lgamma = lgamma(x + 1.0), state.gelu = gelu(x)").df()
+
+
+# state and reducers
+
+_STATE = "SELECT l_partkey AS id, {} FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 GROUP BY 1"
+for _name, _cel, _sql in (
+    ("state_min", "state.v:MIN = edge.l_extendedprice", "min(l_extendedprice) AS v"),
+    ("state_max", "state.v:MAX = edge.l_extendedprice", "max(l_extendedprice) AS v"),
+    ("state_sum", "state.v:SUM = edge.l_quantity", "sum(l_quantity) AS v"),
+    ("state_count", "state.v:COUNT = edge.l_quantity", "count(*) AS v"),
+    ("state_avg", "state.v:AVG = edge.l_quantity", "avg(l_quantity) AS v"),
+    ("state_or", "state.v:OR = edge.l_returnflag == 'R'", "bool_or(l_returnflag = 'R') AS v"),
+    ("state_and", "state.v:AND = edge.l_quantity > 10", "bool_and(l_quantity > 10) AS v"),
+    ("state_any", "state.v:ANY = edge.l_shipdate", "min(epoch_us(l_shipdate)) AS v"),
+    ("state_argmin", "state.cost:MIN = edge.l_extendedprice, state.via:ARGMIN(cost) = src.id", "min(l_extendedprice) AS cost, arg_min(o_orderkey, (l_extendedprice, o_orderkey)) AS via"),
+    ("state_argmax", "state.cost:MAX = edge.l_extendedprice, state.via:ARGMAX(cost) = src.id", "max(l_extendedprice) AS cost, arg_max(o_orderkey, (l_extendedprice, -o_orderkey)) AS via"),
+    ("state_source_attribute", "state.v:SUM = src.o_totalprice * edge.l_discount", "round(sum(o_totalprice * l_discount), 4) AS v"),
+):
+
+    def _run(spark: SparkSession, at: str, _cel: str = _cel, _name: str = _name) -> DataFrame:
+        df = graph(spark, at).domain("Customer").from_(range(40)).out("PLACED").out_with_state("CONTAINS", _cel).df()
+        return df.withColumn("v", F.round("v", 4)) if _name == "state_source_attribute" else df
+
+    query(_STATE.format(_sql), _name)(_run)
+
+
+@query("SELECT l_partkey AS id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1")
+def two_hop_path_count(spark: SparkSession, at: str) -> DataFrame:
+    t = graph(spark, at).domain("Customer").from_(range(100)).out_with_state("PLACED", "state.n:COUNT = 1").out_with_state("CONTAINS", "state.n:SUM = src.n")
+    return t.df()
+
+
+@query("SELECT l_partkey AS id, min(o_totalprice + l_extendedprice) AS cost FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 AND o_totalprice > 1000 AND l_quantity < 30 GROUP BY 1 HAVING min(o_totalprice + l_extendedprice) < 100000")
+def state_carried(spark: SparkSession, at: str) -> DataFrame:
+    t = graph(spark, at).domain("Customer").from_(range(40)).out_with_state("PLACED", "state.cost:MIN = edge.o_totalprice", "edge.o_totalprice > 1000")
+    return t.out_with_state("CONTAINS", "state.cost:MIN = state.cost + edge.l_extendedprice", "edge.l_quantity < 30").filter("state.cost < 100000").df()
+
+
+@query("SELECT c_custkey AS id, c_acctbal * 2 AS twice, CAST(1 AS BIGINT) AS n FROM customer")
+def project_in_place(spark: SparkSession, at: str) -> DataFrame:
+    return graph(spark, at).domain("Customer").all().project("state.twice:SUM = node.c_acctbal * 2, state.n:COUNT = node.c_acctbal").df()
+
+
+for _kind, _sql in (
+    ("sum", "round(sum(c_acctbal), 4)"), ("max", "max(c_acctbal)"), ("min", "min(c_acctbal)"), ("avg", "round(avg(c_acctbal), 6)"), ("count", "count(*)"), ("first", "arg_min(c_acctbal, c_custkey)"),
+    ("argmax", "arg_max(c_custkey, (c_acctbal, -c_custkey))"), ("argmin", "arg_min(c_custkey, (c_acctbal, c_custkey))"),
+):
+
+    def _reduce(spark: SparkSession, at: str, _kind: str = _kind) -> DataFrame:
+        df = graph(spark, at).domain("Customer").all().attribute("c_acctbal").reduce(_kind)
+        return df.withColumn(_kind, F.round(_kind, {"sum": 4, "avg": 6}[_kind])) if _kind in ("sum", "avg") else df
+
+    query(f'SELECT {_sql} AS "{_kind}" FROM customer', f"reduce_{_kind}")(_reduce)
+
+
+@query("SELECT round(sum(o_totalprice * l_discount), 3) AS \"sum\" FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40")
+def reduce_edge_expression(spark: SparkSession, at: str) -> DataFrame:
+    df = graph(spark, at).domain("Customer").from_(range(40)).out("PLACED").edge_values("CONTAINS", "o_totalprice", "*", "l_discount").reduce("sum")
+    return df.withColumn("sum", F.round("sum", 3))
+
+
+# front-ends
+
+
+@query(SQL["walk_2hop_filtered"])
+def cypher_2hop_filtered(spark: SparkSession, at: str) -> DataFrame:
+    return api.prepare(graph(spark, at), "MATCH (c:Customer)-[:PLACED]->(o:Order)-[l:CONTAINS]->(p:Part) WHERE c.id = $who AND l.l_quantity > 25 RETURN p").bind("$who", 7).df()
+
+
+@query(SQL["walk_4hop_metapath"])
+def cypher_4hop_metapath(spark: SparkSession, at: str) -> DataFrame:
+    return api.prepare(graph(spark, at), "MATCH (c:Customer {id: 7})-[:PLACED]->()-[:CONTAINS]->(:Part)<-[:CONTAINS]-(:Order)<-[:PLACED]-(d:Customer) RETURN DISTINCT d").df()
+
+
+@query("SELECT count(DISTINCT c_custkey) AS count FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND l_partkey = 11")
+def cypher_count_middle(spark: SparkSession, at: str) -> DataFrame:
+    return api.prepare(graph(spark, at), "MATCH (p:Part {id: 11})<-[:CONTAINS]-(o)<-[:PLACED]-(c:Customer)-[:LIVES_IN]->(n) WHERE c.c_mktsegment = 'BUILDING' RETURN count(c)").df()
+
+
+@query(SQL["varlen_1_3"])
+def cypher_varlen(spark: SparkSession, at: str) -> DataFrame:
+    return api.prepare(_homogeneous(spark, at), "MATCH (a:P)-[:LINK*1..3]->(b) WHERE id(a) = 1 RETURN b").df()
+
+
+@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 9 AND l_tax > 0.04")
+def statement_arrows(spark: SparkSession, at: str) -> DataFrame:
+    return api.prepare(graph(spark, at), "FROM Customer WHERE id = $id -> out('PLACED') -> out('CONTAINS', 'edge.l_tax > 0.04')").bind("id", 9).df()
+
+
+@query(SQL["walk_reverse"])
+def sexpr_roundtrip(spark: SparkSession, at: str) -> DataFrame:
+    text = graph(spark, at).domain("Part").from_(11).in_("CONTAINS").in_("PLACED").explain()
+    return api.run(sexpr.parse(text), graph(spark, at))
+
+
+@query("SELECT DISTINCT l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey < 5 AND s_acctbal > 2000")
+def typed_builder(spark: SparkSession, at: str) -> DataFrame:
+    b = api.TypedBuilder(graph(spark, at).domain("Customer").from_(range(5)), "Customer")
+    return b.walk_placed().walk_shipped_by().filter_s_acctbal(">", 2000).traversal.df()
+
+
+# loops and algorithms
+
+
+@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w WHERE n = 3")
+def repeat_3(spark: SparkSession, at: str) -> DataFrame:
+    return _homogeneous(spark, at).domain("P").from_(1).repeat(3, lambda s: s.out("LINK")).df()
+
+
+@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT dst FROM w JOIN e ON src = id) SELECT id FROM w")
+def closure(spark: SparkSession, at: str) -> DataFrame:
+    return _homogeneous(spark, at).domain("P").from_(1).repeat_until_stable(lambda s: s.out("LINK")).df()
+
+
+@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS level UNION SELECT b, level + 1 FROM w JOIN u ON a = id WHERE level < 12) SELECT id, min(level) AS level FROM w GROUP BY 1")
+def bfs_levels(spark: SparkSession, at: str) -> DataFrame:
+    edges, _ = links(spark, at)
+    return algorithms.bfs_levels(edges, spark.createDataFrame([(1,)], "id long"), "both", 12)
+
+
+@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT id AS c, id FROM v UNION SELECT c, b FROM w JOIN u ON a = id) SELECT id, min(c) AS component FROM w GROUP BY 1")
+def cc_labels(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.connected_components(*links(spark, at))
+
+
+@query(f"WITH {LINKS} SELECT v.id, coalesce(sum(e.dst), 0) * 1.0 AS value FROM v LEFT JOIN e ON e.src = v.id GROUP BY 1")
+def mxv(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    return walks.semiring_product(edges, nodes.withColumn("value", F.col("id").cast("double")), nodes)
+
+
+@query(f"WITH {LINKS} SELECT v.id, min(e.weight + e.src) AS value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1")
+def vxm_min_plus(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    return walks.semiring_product(edges, nodes.withColumn("value", F.col("id").cast("double")), nodes, "min_plus", "weight", transposed=True)
+
+
+_RANK = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS r FROM v)"] + [
+    f"r{i} AS (SELECT v.id, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM v)) AS r "
+    f"FROM v LEFT JOIN (SELECT e.dst, sum(r{i - 1}.r / o.n) AS s FROM e JOIN r{i - 1} ON r{i - 1}.id = e.src JOIN o ON o.src = e.src GROUP BY 1) g ON g.dst = v.id)"
+    for i in range(1, 6)
+]
+
+
+@query(f"WITH {LINKS}, o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY 1), {', '.join(_RANK)} SELECT id, round(CAST(r AS DOUBLE), 9) AS rank FROM r5")
+def pagerank_5(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.pagerank(*links(spark, at), iterations=5).withColumn("rank", F.round("rank", 9))
+
+
+@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS d UNION SELECT dst, d + weight FROM w JOIN e ON src = id) SELECT id, min(d) AS distance FROM w GROUP BY 1")
+def sssp(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.shortest_paths(links(spark, at)[0], spark.createDataFrame([(1,)], "id long"))
+
+
+@query(f"WITH {LINKS} SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst")
+def triangles(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.triangles(links(spark, at)[0])
+
+
+@query(f"WITH {LINKS}, t AS (SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), d AS (SELECT a, count(*) AS n FROM u GROUP BY 1) SELECT triangles, CAST((SELECT sum(n * (n - 1) // 2) FROM d) AS BIGINT) - 3 * triangles AS wedges FROM t")
+def motifs3(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.motifs3(links(spark, at)[0])
+
+
+@query(f"WITH {LINKS} SELECT count(*) AS hits FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst WHERE x.src < 100")
+def triangle_sweep(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    return algorithms.triangle_sweep(edges, nodes.filter("id < 100"))
+
+
+@query(name="k_core_2")
+def k_core_2(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.k_core(links(spark, at)[0], 2)
+
+
+@query(name="betweenness")
+def betweenness(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    return algorithms.betweenness(edges, nodes.filter("id < 5"))
+
+
+@query(f"""WITH RECURSIVE {LINKS}, m AS (SELECT id FROM v WHERE id = 1 UNION SELECT dst FROM m JOIN e ON src = id), r AS (SELECT l_suppkey AS id FROM lineitem JOIN m ON m.id = l_partkey EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) SELECT id FROM r""")
+def rebac_allowed(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    line, supp = table(spark, at, "lineitem"), table(spark, at, "supplier")
+    g = GraphSnapshot(spark).with_domain("P", nodes).with_domain("S", supp, "s_suppkey").with_relation("IN", "P", "P", edges).with_relation("MAY", "P", "S", line, "l_partkey", "l_suppkey")
+    return g.domain("P").from_(1).rebac_check("IN", "MAY", g.domain("S").all().filter("node.s_acctbal < 0")).df()
+
+
+def _ring(spark: SparkSession, at: str) -> DataFrame:
+    """Trade between nations: supplier's and customer's nation of orders with a low key, as branches of a small network."""
+    line, orders = table(spark, at, "lineitem").filter("l_orderkey < 12"), table(spark, at, "orders")
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, at, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, at, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = rows.filter("c_nationkey != s_nationkey").select(F.least("c_nationkey", "s_nationkey").cast("long").alias("src"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("dst")).distinct()
+    return pairs.withColumn("branch_id", F.col("src") * 100 + F.col("dst"))
+
+
+@query(name="islands_n1")
+def islands_n1(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.contingencies(_ring(spark, at))
+
+
+@query(name="islands_n2")
+def islands_n2(spark: SparkSession, at: str) -> DataFrame:
+    return algorithms.contingencies(_ring(spark, at), order=2)
+
+
+@query(name="sampled_neighbors")
+def sampled_neighbors(spark: SparkSession, at: str) -> DataFrame:
+    return walks.sample_neighbors(graph(spark, at).relation("CONTAINS").edges.select("src", "dst"), 2)
+
+
+@query(name="random_walks")
+def random_walks(spark: SparkSession, at: str) -> DataFrame:
+    edges, nodes = links(spark, at)
+    return walks.random_walk(edges, nodes, 4)
+
+
+# statistics
+
+_DEGREES = "d AS (SELECT c_custkey AS id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT list(n ORDER BY n) AS l, count(*) AS v FROM d)"
+
+
+@query(f"""WITH {_DEGREES} SELECT v AS node_count, CAST((SELECT sum(n) FROM d) AS BIGINT) AS edge_count, (SELECT count(*) FROM d WHERE n > 0) AS unique_sources, (SELECT max(n) FROM d) AS max_degree,
+(SELECT avg(n) FROM d) AS avg_degree, round((SELECT stddev_pop(n) FROM d), 9) AS stddev_degree, l[CAST(floor(v * 0.5) AS INT) + 1] AS p50_degree, l[CAST(floor(v * 0.9) AS INT) + 1] AS p90_degree, l[CAST(floor(v * 0.99) AS INT) + 1] AS p99_degree,
+(SELECT count(*) FROM d WHERE n > 0) / v AS sparsity, CAST(1 AS BIGINT) AS max_in_degree, '1:N' AS multiplicity FROM s""")
+def relation_stats(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return statistics.relation_statistics(g.relation("PLACED").edges, g.domain_of("Customer").nodes).withColumn("stddev_degree", F.round("stddev_degree", 9))
+
+
+@query(f"WITH {_DEGREES} SELECT id, n AS degree FROM d WHERE n >= (SELECT greatest(avg(n) + 3 * stddev_pop(n), 10) FROM d)")
+def supernodes(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return statistics.supernodes(g.relation("PLACED").edges, g.domain_of("Customer").nodes)
+
+
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value, least(count(DISTINCT o_totalprice), 10000) AS distinct_values, 'NONE' AS monotonic FROM orders")
+def attribute_stats(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.attribute_statistics(table(spark, at, "orders"), "o_totalprice", "o_orderkey")
+
+
+@query("SELECT l_partkey AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def heavy_hitters_exact(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.heavy_hitters(table(spark, at, "lineitem"), "l_partkey", 25)
+
+
+@query(name="heavy_hitters_sketch")
+def heavy_hitters_sketch(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.heavy_hitters_sketch(table(spark, at, "lineitem"), "l_returnflag", 3)
+
+
+@query("WITH s AS (SELECT list(l_extendedprice ORDER BY l_extendedprice) AS l, count(*) AS n FROM lineitem) SELECT CAST(b AS INT) AS bucket, l[CAST(ceil(b * n / 20.0) AS INT)] AS upper FROM s, range(1, 21) t(b)")
+def equi_depth(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.equi_depth_exact(table(spark, at, "lineitem"), "l_extendedprice")
+
+
+@query(name="equi_depth_sketch")
+def equi_depth_sketch(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.equi_depth(table(spark, at, "lineitem"), "l_extendedprice")
+
+
+@query(name="distinct_sketch")
+def distinct_sketch(spark: SparkSession, at: str) -> DataFrame:
+    return statistics.approximate_distinct(table(spark, at, "lineitem"), "l_partkey")
+
+
+@query(name="degree_sketch")
+def degree_sketch(spark: SparkSession, at: str) -> DataFrame:
+    g = graph(spark, at)
+    return statistics.degree_sketch(g.relation("CONTAINS").edges, g.domain_of("Order").nodes)
+
+
+# mutations
+
+
+@query("""WITH d AS (SELECT user_id AS src, event_id % 50 AS dst, CASE WHEN event_type = 'error' THEN 'D' ELSE 'I' END AS op, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('signup', 'view', 'error'))
+SELECT src, dst FROM d WHERE rn = 1 AND op = 'I'""")
+def delta_fold(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "events").filter(F.col("event_type").isin("signup", "view", "error"))
+    own = rows.select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst"), F.when(F.col("event_type") == "error", "D").otherwise("I").alias("op"), "ts", "event_id")
+    return deltas.fold(own, ["src", "dst"], ["ts", "event_id"]).filter("op = 'I'").select("src", "dst")
+
+
+@query("""WITH d AS (SELECT user_id AS src, event_id % 50 AS dst, event_type, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = 1),
+b AS (SELECT user_id AS src, event_id % 50 AS dst FROM events WHERE event_id % 2 = 0) SELECT src, dst FROM b WHERE (src, dst) NOT IN (SELECT (src, dst) FROM d) UNION ALL SELECT src, dst FROM d WHERE rn = 1 AND event_type <> 'error'""")
+def delta_overlay(spark: SparkSession, at: str) -> DataFrame:
+    ev = table(spark, at, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst"), F.when(F.col("event_type") == "error", "D").otherwise("I").alias("op"), F.col("event_id").alias("offset"))
+    return deltas.apply_deltas(ev.filter("offset % 2 = 0").select("src", "dst"), ev.filter("offset % 2 = 1"))
