@@ -148,11 +148,11 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
     keyed = with_canonical_edges(inserts, relations, domains)
     side = lambda s: F.struct(F.lit(f"{s}_key").alias("ref_field"), F.col(f"{s}_domain").alias("domain_id"), F.col(s).alias("key"))
     refs = keyed.select("delta_id", "kafka_offset", "relation_id", day.alias("day"), F.inline(F.array(side("src"), side("tgt"))))
-    log = with_canonical_nodes(nodes, domains).filter(F.col("op").isin("I", "D"))
+    log = with_canonical_nodes(nodes.select("delta_id", "kafka_offset", "op", "domain_id", "node_key"), domains).filter(F.col("op").isin("I", "D"))
     # a node delta takes effect once, at its smallest offset
     log = log.groupBy("domain_id", "key", "delta_id", "op").agg(F.min("kafka_offset").alias("kafka_offset"))
     history = log.select("domain_id", "key", "kafka_offset", (F.col("op") == "I").alias("live")).unionByName(
-        with_canonical_nodes(base, domains).select("domain_id", "key", F.lit(-1).cast("long").alias("kafka_offset"), F.lit(True).alias("live"))
+        with_canonical_nodes(base.select("domain_id", "node_key"), domains).select("domain_id", "key", F.lit(-1).cast("long").alias("kafka_offset"), F.lit(True).alias("live"))
     )
     gone = missing_as_of(refs, history, ["domain_id", "key"], "kafka_offset", "live")
     candidates = materialize(gone.select("delta_id", "kafka_offset", "relation_id", "ref_field", "domain_id", "day").unionByName(lost.select("delta_id", "kafka_offset", "relation_id", "ref_field", "domain_id", "day")), "gone")

@@ -119,7 +119,8 @@ def live_degrees(edges: DataFrame, loaded: DataFrame, relations: DataFrame, doma
     Load: sources are packed to tasks by their deltas; the deltas of a large source are split by target, so a
     task gets at most about its share. The edge counts go to the tasks that hold sources of the relation.
     """
-    keyed = with_canonical_edges(edges, relations, domains).filter(F.col("src").isNotNull()).select("relation_id", "src", "tgt", "delta_id", "kafka_offset", F.when(F.col("op") == "I", 1).otherwise(0).alias("_on"))
+    needed = edges.select("relation_id", "src_key", "tgt_key", "delta_id", "kafka_offset", "op")
+    keyed = with_canonical_edges(needed, relations, domains).filter(F.col("src").isNotNull()).select("relation_id", "src", "tgt", "delta_id", "kafka_offset", F.when(F.col("op") == "I", 1).otherwise(0).alias("_on"))
     # Redelivered and repeated deltas fold before they are sent.
     keyed = materialize(keyed, "keyed")
     plan = plan_fragments(keyed, ["relation_id", "src"], tasks)
