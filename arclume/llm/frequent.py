@@ -65,7 +65,7 @@ def local_counts(df: DataFrame, columns: Sequence[str], leaders: int, max_values
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], k: int | None = None, min_share: float | None = None) -> DataFrame:
-    """The values of ``columns`` with their exact counts: (columns, n).
+    """The values of ``columns`` with their exact counts: (columns, n; n_ if one of them is called n).
 
     ``k``: the k most frequent (ties by the values' order); ``min_share``: all with at least this share of all rows;
     both: the k most frequent of those. Rows with a null in ``columns`` count for the base of ``min_share`` but
@@ -78,7 +78,9 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int | None = None,
     """
     if k is None and min_share is None:
         raise ValueError("k or min_share is needed")
-    columns = list(columns)
+    names = list(columns)
+    columns = [f"_c{i}" for i in range(len(names))]  # no clash with the columns added here
+    df = df.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
     leaders = max(1, min(k or 1 << 30, int(1 / min_share) + 1 if min_share else 1 << 30))
     counts = materialize(local_counts(df, columns, leaders), "counts")
     full = F.lit(True)
@@ -97,7 +99,9 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int | None = None,
     if min_share:
         part = Fraction(min_share).limit_denominator(1_000_000)  # whole numbers: no rounding at the border
         exact = exact.filter(F.col("n") * part.denominator >= F.lit(part.numerator * total))
-    return exact if k is None else exact.orderBy(F.desc("n"), *columns).limit(k)
+    if k is not None:
+        exact = exact.orderBy(F.desc("n"), *columns).limit(k)
+    return exact.select(*[F.col(c).alias(n) for n, c in zip(names, columns)], F.col("n").alias("n_" if "n" in names else "n"))
 
 
 def edge_sources(spark: SparkSession, edges: DataFrame, relations: DataFrame, domains: DataFrame) -> DataFrame:
