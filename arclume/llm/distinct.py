@@ -97,7 +97,7 @@ def audit_statistics(keys: DataFrame, stats: DataFrame, tolerance: float = 0.1,
     """
     known = stats.filter(F.col("est_count") >= 0).select("stat_id", "from_day", "to_day", F.sort_array(F.array_distinct("domain_ids")).alias("domain_ids"), "est_count").distinct()
     known = materialize(known.withColumn("stat", F.xxhash64("stat_id", "from_day", "to_day", "domain_ids", "est_count")), "stats")
-    keys = materialize(keys, "keys")
+    keys = materialize(keys.filter(F.col("key").isNotNull() & F.col("day").isNotNull()), "keys")
     pages = pages_for(keys.count(), target)
     parts = materialize(bitmaps(keys, ["day", "domain_id"], "key", pages), "bitmaps")
     covers = combinations(known)

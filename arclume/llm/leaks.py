@@ -67,7 +67,7 @@ def read_items(rows: Sequence[tuple[int, str | None]]) -> list[Item]:
     for item, text in rows:
         if text:
             toks, head = tokens(text), tuple(tokens(_sentences(text)[0]))
-            if head in leads and len(toks) > len(head):
+            if head in leads:
                 toks = toks[len(head) :]
             if toks:
                 out.append(Item(item, toks, 2 * sum(bool(WIDE_TOKEN.match(t)) for t in toks) > len(toks)))
