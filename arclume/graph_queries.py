@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from arclume import api
 from arclume.operators import algorithms, statistics, walks
 from arclume.plans import sexpr
+from arclume.session import reusable
 from arclume.sources.snapshot import GraphSnapshot
 from arclume.sources.tables import table
 from arclume.streaming import deltas
@@ -33,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
 def graph(spark: SparkSession, at: str) -> GraphSnapshot:
     """Customers, orders, parts, suppliers, nations, regions, users and events as domains; what links them as relations."""
-    t = lambda n: table(spark, at, n)
+    t = lru_cache(lambda n: table(spark, at, n))  # each table is looked at once
     users = t("events").select(F.col("user_id").alias("id")).distinct()
     g = GraphSnapshot(spark)
     for name, nodes, key in (
@@ -60,7 +62,7 @@ def links(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     line = table(spark, at, "lineitem").filter(F.col("l_partkey") < SMALL).select("l_orderkey", "l_partkey")
     pairs = line.alias("a").join(line.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey")
     edges = pairs.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return edges, table(spark, at, "part").filter(F.col("p_partkey") < SMALL).select(F.col("p_partkey").alias("id"))
+    return reusable(edges, "links"), table(spark, at, "part").filter(F.col("p_partkey") < SMALL).select(F.col("p_partkey").alias("id"))
 
 
 LINKS = f"""e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from arclume.functions import cel
 from arclume.functions.projection import Projection, parse_projections
 from arclume.plans import ast
-from arclume.session import materialize
+from arclume.session import materialize, reusable
 from arclume.sources.snapshot import GraphSnapshot, Relation
 
 
@@ -268,6 +268,10 @@ class Lowerer:
     def stable(self, f: Frontier, step: ast.Stable, max_rounds: int = 100_000) -> Frontier:
         """Semi-naive closure: each round goes on from the nodes that the last one found, until it finds none."""
         keys = f.keys
+        inner = ast.Query(None, ast.Seed("ids"), tuple(step.steps)).relations()
+        for r in [self.snap.relation(n) for n in inner]:
+            if (kept := reusable(r.edges, "loop")) is not r.edges:
+                self.snap = replace(self.snap, relations={**self.snap.relations, r.name: replace(r, edges=kept)})
         start = materialize(f.df.select(*keys).distinct(), "closure")
         reached = [start]
         new = Frontier(start, f.domain, f.batch)

@@ -41,6 +41,12 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reusable(df: DataFrame, label: str = "reused") -> DataFrame:
+    """``df`` for a loop that reads it every round: written once if it is computed by joins, aggregates or sorts, as it is if it is a scan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(df, label) if any(w in plan for w in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Generate")) else df
+
+
 def default_tasks(spark: SparkSession, rows: int | None = None, rows_per_task: int = 1_000_000) -> int:
     """Tasks for a stage: two for each core, and more where the rows would not fit."""
     least = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
