@@ -28,6 +28,8 @@ WIDE_TOKEN = re.compile(rf"[{WIDE}]")
 #: Tokens of a seed, and of the shortest tile, in words and in characters of scripts without spaces.
 SEED, WIDE_SEED = 4, 3
 TILE, WIDE_TILE = 3, 2
+#: Tokens of the shortest stretch that counts: a few words in a row occur by chance.
+SHORT, SHORT_WIDE = 6, 8
 #: Sentences that so many items begin with are lead-ins.
 LEAD_IN = 4
 #: Items of one block: what a task's index holds.
@@ -207,7 +209,7 @@ def stretches(doc: Sequence[int], item: Sequence[int], tiled: list[tuple[int, in
             x, y, m = tiled[nxt]
             edits += cost
             end_doc, end_item, kept, at = x + m, y + m, kept + same + m, nxt
-            if edits * one_in <= max(end_item - start_item, end_doc - start_doc) + one_in / 2:
+            if edits * one_in <= max(end_item - start_item, end_doc - start_doc):
                 out.append((start_doc, end_doc, start_item, end_item, kept))
     return out
 
@@ -216,7 +218,7 @@ def coverage(doc: Sequence[int], item: Sequence[int], wide: bool) -> tuple[float
     """(share of the item's tokens carried in its order in one or two stretches, tokens of the longer)."""
     one_in, least = (4, WIDE_TILE) if wide else (8, TILE)
     spans = stretches(doc, item, tiles(doc, item, least), one_in)
-    own = 6 if wide else 5
+    own = SHORT_WIDE if wide else SHORT
     spans = [s for s in spans if s[3] - s[2] >= own]
     if not spans:
         return 0.0, 0
