@@ -47,6 +47,18 @@ def reusable(df: DataFrame, label: str = "reused") -> DataFrame:
     return materialize(df, label) if any(w in plan for w in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Generate")) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that costs far more than a shuffle, if it is a scan of fewer parts than cores.
+
+    Large inputs have more parts than that and are left where they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def default_tasks(spark: SparkSession, rows: int | None = None, rows_per_task: int = 1_000_000) -> int:
     """Tasks for a stage: two for each core, and more where the rows would not fit."""
     least = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
