@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arclume.session import spread
+
 # Letters that look like Latin ones, after lower-casing.
 LOOKALIKES = str.maketrans("авекмнорстухіѕјԁһӏԛԝαβεικορτυνχοս", "abekmhopctyxisjdhlqwabeikoptyvxou")
 #: Characters that a reader doesn't see.
@@ -271,6 +273,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, doc
     """
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", items.schema[item_id].dataType).add("coverage", "double")
     parts = []
+    texts = spread(documents.filter(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
     rows = items.filter(F.length(item_text) > 0).select(item_id, item_text).distinct().orderBy(item_id, item_text)
     taken = [(r[0], r[1]) for r in rows.toLocalIterator()]  # the query set, read in order
     every = read_items(taken)
@@ -283,7 +286,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, doc
                 found = [(d, i, c) for d, t in zip(b["doc_id"], b["_text"]) if isinstance(t, str) for i, c in leaks_of(t, index, share)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "coverage"])
 
-        parts.append(documents.filter(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInPandas(search, schema))
+        parts.append(texts.mapInPandas(search, schema))
     if not parts:
         return documents.sparkSession.createDataFrame([], schema)
     out = parts[0]

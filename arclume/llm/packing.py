@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclume.session import materialize
+from arclume.session import materialize, spread
 
 #: Items that one task packs at once, and containers it keeps open for the next ones.
 BLOCK, OPEN = 20_000, 2_000
@@ -100,7 +100,7 @@ def pack_documents(
     max_cost = float(max_cost or capacity * capacity)
     path = tokenizer or default_tokenizer()
     spark = documents.sparkSession
-    kept = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    kept = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
     schema = kept.select("doc_id").schema.add("tokens", "integer").add("piece", "integer").add("pieces", "integer").add("piece_tokens", "integer").add("container", "long").add("_half", "boolean")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
