@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
-from arclume.plans import ast, cypher, sexpr
-from arclume.plans.lower import compile_query
+from arclume.functions import cel, math
+from arclume.plans import ast, cypher, rewrite, sexpr
+from arclume.plans.lower import Lowerer, compile_query
 from arclume.sources.snapshot import GraphSnapshot
 
 _FUNCTIONS: dict[str, Callable[..., Column]] = {}
@@ -114,8 +116,24 @@ class Traversal:
     def collect(self, form: str = "set") -> DataFrame:
         return self._then(ast.Collect(form)).df()
 
-    def reduce(self, kind: str, of: str = "value") -> DataFrame:
-        return self._then(ast.Reduce(kind, of)).df()
+    def reduce(self, kind: str, of: str = "value", positive: bool = False) -> DataFrame:
+        """One value of the frontier: ``of`` is a state column (default the loaded attribute) or an expression over each node. A max or min moves
+        inside of monotonic functions (``positive``: of logarithms and roots too, whose arguments are promised to be above 0)."""
+        if of.isidentifier():
+            return self._then(ast.Reduce(kind, of)).df()
+        outside, inner, tree = rewrite.hoist(kind, cel.parse(of), positive)
+        step = ast.Project(f"state.value:ANY = {cel.text(tree)}")
+        df = self._then(step)._then(ast.Reduce(inner, "value")).df()
+        col, kind_of = df[inner], cel.kind_of(df.schema[inner].dataType)
+        for name in reversed(outside):
+            col, kind_of = (-col, kind_of) if name == "-" else math.call(name, [(col, kind_of)], cel.ExpressionError)
+        return df.select(*[c for c in df.columns if c != inner], col.alias(kind))
+
+    def with_attributes(self, *names: str) -> DataFrame:
+        """The frontier with attributes of its nodes, joined at the end so that walks carry ids only."""
+        low = Lowerer(self.snap, dict(self.query.params), _FUNCTIONS)
+        f = low.frontier(self.query)
+        return f.df.join(low.node_columns(f.domain, set(names)).withColumnRenamed("id", "_id"), f.df["id"] == F.col("_id"), "left").select(*f.df.columns, *names)
 
     def count(self) -> int:
         return self.collect("count").first()[0]

@@ -102,6 +102,8 @@ TABLE: dict[str, tuple[tuple[int, ...], str, Callable[..., Column]]] = {
     "isNan": ((1,), "bool", F.isnan),
     "isInf": ((1,), "bool", lambda x: F.abs(x) == INF),
     "isFinite": ((1,), "bool", lambda x: ~F.isnan(x) & (F.abs(x) < INF)),
+    "max": ((2, 3, 4, 5, 6, 7, 8), "same", F.greatest),
+    "min": ((2, 3, 4, 5, 6, 7, 8), "same", F.least),
     # strings
     "startsWith": ((2,), "bool", lambda s, p: s.startswith(p)),
     "endsWith": ((2,), "bool", lambda s, p: s.endswith(p)),

@@ -83,6 +83,8 @@ def test_state(spark):
     assert rows(chained.df()) == [(2, 15.0)]
     assert t.attribute("cost").reduce("sum").first()[0] == 30.0
     assert t.attribute("cost").reduce("argmax").first()[0] == 1
+    assert t.reduce("max", "-cost").first()[0] == -10.0 and t.reduce("max", "log(cost)", positive=True).first()[0] == t.reduce("max", "log(cost)").first()[0] and t.reduce("avg", "cost * 2.0").first()[0] == 30.0
+    assert rows(t.with_attributes("cost", "key")) == [(0, 10.0, "0"), (1, 20.0, "1")]
     empty = g.domain("User").from_().attribute("cost")
     assert [empty.reduce(k).first()[0] for k in ("sum", "min", "argmin", "first", "count")] == [None, None, None, None, 0]
     with pytest.raises(ExpressionError):
