@@ -79,9 +79,9 @@ def inserted_keys(nodes: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def combinations(stats: DataFrame) -> DataFrame:
-    """``stats`` (stat_id, from_day, to_day, domain_ids, est_count) as the (stat_id, day, domain_id) that each covers.
+    """``stats`` (stat, from_day, to_day, domain_ids) as the (stat, day, domain_id) that each covers.
 
-    Rows of one stat_id that differ are told apart by their columns. Ranges that end before they begin, and null ends, cover nothing.
+    Ranges that end before they begin, and null ends, cover nothing.
     """
     days = F.when(F.col("from_day") <= F.col("to_day"), F.sequence("from_day", "to_day"))
     return stats.select("stat", F.explode(days).alias("day"), F.array_distinct("domain_ids").alias("_ids")).select("stat", "day", F.explode("_ids").alias("domain_id"))
@@ -96,11 +96,13 @@ def audit_statistics(keys: DataFrame, stats: DataFrame, tolerance: float = 0.1,
     negative is unknown and doesn't come out; repeated rows come out once; a statistic that covers no key has 0.
     """
     known = stats.filter(F.col("est_count") >= 0).select("stat_id", "from_day", "to_day", F.sort_array(F.array_distinct("domain_ids")).alias("domain_ids"), "est_count").distinct()
-    known = materialize(known.withColumn("stat", F.xxhash64("stat_id", "from_day", "to_day", "domain_ids", "est_count")), "stats")
+    # statistics of the same days and domains share one union
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("from_day", "to_day")], F.coalesce(F.concat_ws(",", F.col("domain_ids").cast("array<string>")), F.lit("-")))
+    known = materialize(known.withColumn("stat", name), "stats")
     keys = materialize(keys.filter(F.col("key").isNotNull() & F.col("day").isNotNull()), "keys")
     pages = pages_for(keys.count(), target)
     parts = materialize(bitmaps(keys, ["day", "domain_id"], "key", pages), "bitmaps")
-    covers = combinations(known)
+    covers = combinations(known.dropDuplicates(["stat"]))
     found = estimate(merge(covers.join(parts, ["day", "domain_id"]), ["stat"]), ["stat"], pages)
     judged = known.join(found.withColumn("_seen", F.lit(True)), "stat", "left").withColumn("distinct", F.when(F.col("_seen"), F.col("distinct")).otherwise(F.lit(0.0)))
     off = F.abs(F.col("est_count") - F.col("distinct"))
@@ -109,7 +111,7 @@ def audit_statistics(keys: DataFrame, stats: DataFrame, tolerance: float = 0.1,
     open_ = F.col("distinct").isNull() | ((F.col("distinct") > 0) & (off > border - slack) & (off < border + slack))
     judged = materialize(judged.withColumn("checked", open_).withColumn("wrong", off > border), "judged")
     # the exact check: keys of the open statistics only, in two steps so that no group is collected
-    due = combinations(judged.filter("checked").select("stat", "from_day", "to_day", "domain_ids"))
+    due = combinations(judged.filter("checked").dropDuplicates(["stat"]))
     exact = keys.join(due, ["day", "domain_id"]).select("stat", "key").distinct().groupBy("stat").agg(F.count(F.lit(1)).alias("_true"))
     out = judged.join(exact, "stat", "left").withColumn("_true", F.coalesce("_true", F.lit(0)))
     part = Fraction(tolerance).limit_denominator(1_000_000)  # whole numbers: no rounding at the border
