@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import struct
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -66,13 +67,7 @@ def _padded(n: int, to: int = ALIGN) -> int:
 
 
 def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0x1021 from 0xFFFF."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
-    return crc
+    return binascii.crc_hqx(data, 0xFFFF)
 
 
 def read_catalog(path: str, verify: bool = False) -> Catalog:
