@@ -34,8 +34,8 @@ TILE, WIDE_TILE = 3, 2
 SHORT, SHORT_WIDE = 6, 8
 #: Sentences that so many items begin with are lead-ins.
 LEAD_IN = 4
-#: Items of one block: what a task's index holds.
-BLOCK_ITEMS = 20_000
+#: Items and tokens of one block: what a task's index holds.
+BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 4_000_000
 
 
 def tokens(text: str) -> list[str]:
@@ -260,6 +260,19 @@ def leaks_of(text: str, index: Index, share: float) -> list[tuple[int, float]]:
     return out
 
 
+def _blocks(items: list[Item], most: int) -> Iterator[list[Item]]:
+    part: list[Item] = []
+    size = 0
+    for it in items:
+        if part and (len(part) >= most or size + len(it.toks) > BLOCK_TOKENS):
+            yield part
+            part, size = [], 0
+        part.append(it)
+        size += len(it.toks)
+    if part:
+        yield part
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", block: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that carry a test item: (doc_id, item_id, coverage).
 
@@ -268,17 +281,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, doc
     punctuation, markup, layout and invisible or look-alike characters don't matter; the lead-in that many items begin with
     is no part of them. Null and empty texts carry nothing; rows of one id count as one by their best coverage.
 
-    The items are the stated query set: they are indexed in blocks of ``block`` items, so that each index has a bounded
-    size, and all documents pass once per block, without a shuffle of texts.
+    The items are the stated query set: they are indexed in blocks of ``block`` items and BLOCK_TOKENS tokens at most, so that each index has a
+    bounded size, and all documents pass once per block, without a shuffle of texts.
     """
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("item_id", items.schema[item_id].dataType).add("coverage", "double")
     parts = []
     texts = spread(documents.filter(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
     rows = items.filter(F.length(item_text) > 0).select(item_id, item_text).distinct().orderBy(item_id, item_text)
     taken = [(r[0], r[1]) for r in rows.toLocalIterator()]  # the query set, read in order
-    every = read_items(taken)
-    for at in range(0, len(every), block):
-        shared = documents.sparkSession.sparkContext.broadcast([(i.item, i.toks, i.wide) for i in every[at : at + block]])
+    for part in _blocks(read_items(taken), block):
+        shared = documents.sparkSession.sparkContext.broadcast([(i.item, i.toks, i.wide) for i in part])
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             index = Index([Item(*x) for x in shared.value])
