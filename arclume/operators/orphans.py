@@ -145,9 +145,10 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
     ).dropDuplicates(["delta_id", "ref_field"])
     lost = inserts.join(known, "relation_id", "left_anti").select("delta_id", "kafka_offset", "relation_id", F.lit("relation_id").alias("ref_field"), F.lit(None).cast("int").alias("domain_id"), day.alias("day"))
 
-    keyed = with_canonical_edges(inserts, relations, domains)
+    # read by the lookup and by every round of the cascade, so its keys are made canonical once
+    keyed = materialize(with_canonical_edges(inserts, relations, domains).select("delta_id", "kafka_offset", "relation_id", "src_domain", "src", "tgt_domain", "tgt", day.alias("day")), "edges")
     side = lambda s: F.struct(F.lit(f"{s}_key").alias("ref_field"), F.col(f"{s}_domain").alias("domain_id"), F.col(s).alias("key"))
-    refs = keyed.select("delta_id", "kafka_offset", "relation_id", day.alias("day"), F.inline(F.array(side("src"), side("tgt"))))
+    refs = keyed.select("delta_id", "kafka_offset", "relation_id", "day", F.inline(F.array(side("src"), side("tgt"))))
     log = with_canonical_nodes(nodes.select("delta_id", "kafka_offset", "op", "domain_id", "node_key"), domains).filter(F.col("op").isin("I", "D"))
     # a node delta takes effect once, at its smallest offset
     log = log.groupBy("domain_id", "key", "delta_id", "op").agg(F.min("kafka_offset").alias("kafka_offset"))
@@ -164,7 +165,7 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
         return direct.select(*columns, F.lit("direct").alias("kind"), F.lit(0).alias("round"))
     owners = [r[0] for r in relations.filter(F.col("relation_name").isin(*owning)).select("relation_id").distinct().limit(1000).collect()]
     owner = F.col("relation_id").isin(owners) if owners else F.lit(False)
-    once = keyed.select("delta_id", "relation_id", "src_domain", "src", "tgt_domain", "tgt", day.alias("day"))
+    once = keyed.drop("kafka_offset")
     tables = {"edge": once, "owner": once.filter(owner), "other": once.filter(~owner)}
     keys = dict.fromkeys(tables, "delta_id")
     brought = ("tgt_domain", "tgt")
