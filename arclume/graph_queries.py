@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arclume import api
@@ -58,7 +58,7 @@ def graph(spark: SparkSession, at: str) -> GraphSnapshot:
 
 
 def links(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
-    """(src, dst, weight) between consecutive parts of an order with keys below SMALL, and those parts."""
+    """(src, dst, weight) between any two parts of an order with keys below SMALL, and those parts: what the SQL with LINKS checks."""
     line = table(spark, at, "lineitem").filter(F.col("l_partkey") < SMALL).select("l_orderkey", "l_partkey")
     pairs = line.alias("a").join(line.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey")
     edges = pairs.groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -70,6 +70,33 @@ WHERE a.l_partkey < {SMALL} AND b.l_partkey < {SMALL} GROUP BY ALL), v AS (SELEC
 u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"""
 
 
+def whole_links(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, weight) between consecutive parts of an order, by key, and all parts. Linear in rows: an order of n parts has n - 1 links."""
+    line = table(spark, at, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).dropna().distinct()
+    follows = F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("src"))
+    edges = line.withColumn("dst", follows).filter("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return reusable(edges, "links"), table(spark, at, "part").select(F.col("p_partkey").alias("id"))
+
+
+WHOLE_LINKS = """e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dst
+FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)) WHERE dst IS NOT NULL GROUP BY ALL), v AS (SELECT p_partkey AS id FROM part),
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"""
+
+Links = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
+
+
+def linked(sql: str, limit: str = "", checked: bool = True) -> Callable:
+    """Adds a query over ``links`` with its SQL, and the same over ``whole_links`` as NAME_whole: its SQL lacks ``limit``, and is left out where it is
+    too slow to be ``checked``."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable:
+        query(sql, f.__name__)(lambda spark, at: f(spark, at, links))
+        query(sql.replace(LINKS, WHOLE_LINKS).replace(limit, "") if checked else None, f"{f.__name__}_whole")(lambda spark, at: f(spark, at, whole_links))
+        return f
+
+    return add
+
+
 # walks
 
 
@@ -173,13 +200,13 @@ def neighbor_list(spark: SparkSession, at: str) -> DataFrame:
     return walks.neighbors(graph(spark, at).relation("CONTAINS").edges)
 
 
-@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT dst AS id, 1 AS n FROM e WHERE src = 1 UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w""")
-def varlen_1_3(spark: SparkSession, at: str) -> DataFrame:
-    return _homogeneous(spark, at).domain("P").from_(1).out_between("LINK", 1, 3).df()
+@linked(f"""WITH RECURSIVE {LINKS}, w AS (SELECT dst AS id, 1 AS n FROM e WHERE src = 1 UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w""")
+def varlen_1_3(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return _homogeneous(spark, at, of).domain("P").from_(1).out_between("LINK", 1, 3).df()
 
 
-def _homogeneous(spark: SparkSession, at: str) -> GraphSnapshot:
-    edges, nodes = links(spark, at)
+def _homogeneous(spark: SparkSession, at: str, of: Links) -> GraphSnapshot:
+    edges, nodes = of(spark, at)
     return GraphSnapshot(spark).with_domain("P", nodes).with_relation("LINK", "P", "P", edges)
 
 
@@ -366,9 +393,9 @@ def cypher_count_middle(spark: SparkSession, at: str) -> DataFrame:
     return api.prepare(graph(spark, at), "MATCH (p:Part {id: 11})<-[:CONTAINS]-(o)<-[:PLACED]-(c:Customer)-[:LIVES_IN]->(n) WHERE c.c_mktsegment = 'BUILDING' RETURN count(c)").df()
 
 
-@query(SQL["varlen_1_3"])
-def cypher_varlen(spark: SparkSession, at: str) -> DataFrame:
-    return api.prepare(_homogeneous(spark, at), "MATCH (a:P)-[:LINK*1..3]->(b) WHERE id(a) = 1 RETURN b").df()
+@linked(SQL["varlen_1_3"])
+def cypher_varlen(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return api.prepare(_homogeneous(spark, at, of), "MATCH (a:P)-[:LINK*1..3]->(b) WHERE id(a) = 1 RETURN b").df()
 
 
 @query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 9 AND l_tax > 0.04")
@@ -391,36 +418,36 @@ def typed_builder(spark: SparkSession, at: str) -> DataFrame:
 # loops and algorithms
 
 
-@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w WHERE n = 3")
-def repeat_3(spark: SparkSession, at: str) -> DataFrame:
-    return _homogeneous(spark, at).domain("P").from_(1).repeat(3, lambda s: s.out("LINK")).df()
+@linked(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM w JOIN e ON src = id WHERE n < 3) SELECT DISTINCT id FROM w WHERE n = 3")
+def repeat_3(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return _homogeneous(spark, at, of).domain("P").from_(1).repeat(3, lambda s: s.out("LINK")).df()
 
 
-@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT dst FROM w JOIN e ON src = id) SELECT id FROM w")
-def closure(spark: SparkSession, at: str) -> DataFrame:
-    return _homogeneous(spark, at).domain("P").from_(1).repeat_until_stable(lambda s: s.out("LINK")).df()
+@linked(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT dst FROM w JOIN e ON src = id) SELECT id FROM w")
+def closure(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return _homogeneous(spark, at, of).domain("P").from_(1).repeat_until_stable(lambda s: s.out("LINK")).df()
 
 
-@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS level UNION SELECT b, level + 1 FROM w JOIN u ON a = id WHERE level < 12) SELECT id, min(level) AS level FROM w GROUP BY 1")
-def bfs_levels(spark: SparkSession, at: str) -> DataFrame:
-    edges, _ = links(spark, at)
+@linked(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS level UNION SELECT b, level + 1 FROM w JOIN u ON a = id WHERE level < 12) SELECT id, min(level) AS level FROM w GROUP BY 1")
+def bfs_levels(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    edges, _ = of(spark, at)
     return algorithms.bfs_levels(edges, spark.createDataFrame([(1,)], "id long"), "both", 12)
 
 
-@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT id AS c, id FROM v UNION SELECT c, b FROM w JOIN u ON a = id) SELECT id, min(c) AS component FROM w GROUP BY 1")
-def cc_labels(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.connected_components(*links(spark, at))
+@linked(f"WITH RECURSIVE {LINKS}, w AS (SELECT id AS c, id FROM v UNION SELECT c, b FROM w JOIN u ON a = id) SELECT id, min(c) AS component FROM w GROUP BY 1", checked=False)
+def cc_labels(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return algorithms.connected_components(*of(spark, at))
 
 
-@query(f"WITH {LINKS} SELECT v.id, coalesce(sum(e.dst), 0) * 1.0 AS value FROM v LEFT JOIN e ON e.src = v.id GROUP BY 1")
-def mxv(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
+@linked(f"WITH {LINKS} SELECT v.id, coalesce(sum(e.dst), 0) * 1.0 AS value FROM v LEFT JOIN e ON e.src = v.id GROUP BY 1")
+def mxv(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    edges, nodes = of(spark, at)
     return walks.semiring_product(edges, nodes.withColumn("value", F.col("id").cast("double")), nodes)
 
 
-@query(f"WITH {LINKS} SELECT v.id, min(e.weight + e.src) AS value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1")
-def vxm_min_plus(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
+@linked(f"WITH {LINKS} SELECT v.id, min(e.weight + e.src) AS value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1")
+def vxm_min_plus(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    edges, nodes = of(spark, at)
     return walks.semiring_product(edges, nodes.withColumn("value", F.col("id").cast("double")), nodes, "min_plus", "weight", transposed=True)
 
 
@@ -431,46 +458,45 @@ _RANK = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS r FROM v)"] + [
 ]
 
 
-@query(f"WITH {LINKS}, o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY 1), {', '.join(_RANK)} SELECT id, round(CAST(r AS DOUBLE), 9) AS rank FROM r5")
-def pagerank_5(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.pagerank(*links(spark, at), iterations=5).withColumn("rank", F.round("rank", 9))
+@linked(f"WITH {LINKS}, o AS (SELECT src, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY 1), {', '.join(_RANK)} SELECT id, round(CAST(r AS DOUBLE), 9) AS rank FROM r5")
+def pagerank_5(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return algorithms.pagerank(*of(spark, at), iterations=5).withColumn("rank", F.round("rank", 9))
 
 
-@query(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS d UNION SELECT dst, d + weight FROM w JOIN e ON src = id) SELECT id, min(d) AS distance FROM w GROUP BY 1")
-def sssp(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.shortest_paths(links(spark, at)[0], spark.createDataFrame([(1,)], "id long"))
+@linked(f"WITH RECURSIVE {LINKS}, w AS (SELECT CAST(1 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS d UNION SELECT dst, d + weight FROM w JOIN e ON src = id) SELECT id, min(d) AS distance FROM w GROUP BY 1")
+def sssp(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return algorithms.shortest_paths(of(spark, at)[0], spark.createDataFrame([(1,)], "id long"))
 
 
-@query(f"WITH {LINKS} SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst")
-def triangles(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.triangles(links(spark, at)[0])
+@linked(f"WITH {LINKS} SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst")
+def triangles(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return algorithms.triangles(of(spark, at)[0])
 
 
-@query(f"WITH {LINKS}, t AS (SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), d AS (SELECT a, count(*) AS n FROM u GROUP BY 1) SELECT triangles, CAST((SELECT sum(n * (n - 1) // 2) FROM d) AS BIGINT) - 3 * triangles AS wedges FROM t")
-def motifs3(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.motifs3(links(spark, at)[0])
+@linked(f"WITH {LINKS}, t AS (SELECT count(*) AS triangles FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), d AS (SELECT a, count(*) AS n FROM u GROUP BY 1) SELECT triangles, CAST((SELECT sum(n * (n - 1) // 2) FROM d) AS BIGINT) - 3 * triangles AS wedges FROM t")
+def motifs3(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    return algorithms.motifs3(of(spark, at)[0])
 
 
-@query(f"WITH {LINKS} SELECT count(*) AS hits FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst WHERE x.src < 100")
-def triangle_sweep(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
-    return algorithms.triangle_sweep(edges, nodes.filter("id < 100"))
+@linked(f"WITH {LINKS} SELECT count(*) AS hits FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst WHERE x.src < 100", " WHERE x.src < 100")
+def triangle_sweep(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    edges, nodes = of(spark, at)
+    return algorithms.triangle_sweep(edges, nodes.filter("id < 100") if of is links else nodes)
 
 
 @query(name="k_core_2")
 def k_core_2(spark: SparkSession, at: str) -> DataFrame:
-    return algorithms.k_core(links(spark, at)[0], 2)
+    return algorithms.k_core(whole_links(spark, at)[0], 2)
 
 
 @query(name="betweenness")
 def betweenness(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
-    return algorithms.betweenness(edges, nodes.filter("id < 5"))
+    return algorithms.betweenness(*whole_links(spark, at))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, m AS (SELECT id FROM v WHERE id = 1 UNION SELECT dst FROM m JOIN e ON src = id), r AS (SELECT l_suppkey AS id FROM lineitem JOIN m ON m.id = l_partkey EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) SELECT id FROM r""")
-def rebac_allowed(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
+@linked(f"""WITH RECURSIVE {LINKS}, m AS (SELECT id FROM v WHERE id = 1 UNION SELECT dst FROM m JOIN e ON src = id), r AS (SELECT l_suppkey AS id FROM lineitem JOIN m ON m.id = l_partkey EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) SELECT id FROM r""")
+def rebac_allowed(spark: SparkSession, at: str, of: Links) -> DataFrame:
+    edges, nodes = of(spark, at)
     line, supp = table(spark, at, "lineitem"), table(spark, at, "supplier")
     g = GraphSnapshot(spark).with_domain("P", nodes).with_domain("S", supp, "s_suppkey").with_relation("IN", "P", "P", edges).with_relation("MAY", "P", "S", line, "l_partkey", "l_suppkey")
     return g.domain("P").from_(1).rebac_check("IN", "MAY", g.domain("S").all().filter("node.s_acctbal < 0")).df()
@@ -501,8 +527,7 @@ def sampled_neighbors(spark: SparkSession, at: str) -> DataFrame:
 
 @query(name="random_walks")
 def random_walks(spark: SparkSession, at: str) -> DataFrame:
-    edges, nodes = links(spark, at)
-    return walks.random_walk(edges, nodes, 4)
+    return walks.random_walk(*whole_links(spark, at), 4)
 
 
 # statistics
