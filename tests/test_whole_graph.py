@@ -46,3 +46,19 @@ def test_part_graph_is_whole(spark, at):
     assert {r["start"] for r in run("random_walks").collect()} == set(PARTS)
     assert dict(rows(run("cc_labels_whole"))) == {1: 1, 2: 2} | {p: 400 for p in PARTS[2:]}
     assert run("triangle_sweep_whole").first()[0] == run("triangles_whole").first()[0] == 1
+
+
+def test_trade_network_is_whole(spark, tmp_path):
+    # customers and suppliers by nation; a ring of nations 0 to 3 with a tail to 4, all from orders with high keys
+    trade = {100: (0, 1), 200: (1, 2), 300: (2, 3), 400: (3, 0), 500: (4, 3), 600: (2, 2)}
+    for name, columns, data in (
+        ("lineitem", "l_orderkey long, l_suppkey long", [(o, s) for o, (_, s) in trade.items()]),
+        ("orders", "o_orderkey long, o_custkey long", [(o, c) for o, (c, _) in trade.items()]),
+        ("customer", "c_custkey long, c_nationkey int", [(n, n) for n in range(5)]),
+        ("supplier", "s_suppkey long, s_nationkey int", [(n, n) for n in range(5)]),
+    ):
+        spark.createDataFrame(data, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(entry.queries()["islands_n1"](spark, str(tmp_path))) == [(304, 1)]
+    two = rows(entry.queries()["islands_n2"](spark, str(tmp_path)))
+    ring = [1, 3, 102, 203]
+    assert two == sorted([(a, b, 1) for i, a in enumerate(ring) for b in ring[i + 1 :]] + [(a, 304, 1) for a in ring], key=repr)
