@@ -57,6 +57,25 @@ def graph(spark: SparkSession, at: str) -> GraphSnapshot:
     return g.with_virtual_relation("PERFORMED", [f"PERFORMED_{k}" for k in kinds]).with_label("bulk", "edge.l_quantity > 40").with_label("cheap", "node.p_retailprice < 950")
 
 
+def seeded(domain: str, seeds: range, sql: str, limit: str) -> Callable:
+    """Adds a query of a walk from the ``seeds`` of ``domain`` with its SQL, and the same from all of the domain as NAME_whole, whose SQL lacks ``limit``."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable:
+        def few(spark: SparkSession, at: str) -> DataFrame:
+            g = graph(spark, at)
+            return f(g, g.domain(domain).from_(seeds))
+
+        def whole(spark: SparkSession, at: str) -> DataFrame:
+            g = graph(spark, at)
+            return f(g, g.domain(domain).all())
+
+        query(sql, f.__name__)(few)
+        query(sql.replace(limit, ""), f"{f.__name__}_whole")(whole)
+        return f
+
+    return add
+
+
 def links(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     """(src, dst, weight) between any two parts of an order with keys below SMALL, and those parts: what the SQL with LINKS checks."""
     line = table(spark, at, "lineitem").filter(F.col("l_partkey") < SMALL).select("l_orderkey", "l_partkey")
@@ -105,9 +124,9 @@ def walk_2hop_filtered(spark: SparkSession, at: str) -> DataFrame:
     return graph(spark, at).domain("Customer").from_(7).out("PLACED").out("CONTAINS", "edge.l_quantity > 25").df()
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 50")
-def walk_fused_2hop(spark: SparkSession, at: str) -> DataFrame:
-    return graph(spark, at).domain("Customer").from_(range(50)).out2("PLACED", "CONTAINS").df()
+@seeded("Customer", range(50), "SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 50", " WHERE o_custkey < 50")
+def walk_fused_2hop(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    return start.out2("PLACED", "CONTAINS").df()
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 11")
@@ -137,9 +156,9 @@ def screen_5hop_regions(spark: SparkSession, at: str) -> DataFrame:
     return start.out("PLACED").out("CONTAINS", "edge.l_quantity >= 50").in_("SUPPLIES", "edge.l_discount == 0.0").out("BASED_IN").out("IN_REGION").df()
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 20 AND l_quantity > 40 AND p_retailprice < 950")
-def walk_labelled(spark: SparkSession, at: str) -> DataFrame:
-    return graph(spark, at).domain("Customer").from_(range(20)).out("PLACED").label("bulk", "CONTAINS").label("cheap").df()
+@seeded("Customer", range(20), "SELECT DISTINCT l_partkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 20 AND l_quantity > 40 AND p_retailprice < 950", "o_custkey < 20 AND ")
+def walk_labelled(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    return start.out("PLACED").label("bulk", "CONTAINS").label("cheap").df()
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (3, 5, 8) UNION SELECT l_orderkey FROM lineitem WHERE l_partkey = 4")
@@ -178,9 +197,9 @@ def coproduct_walk(spark: SparkSession, at: str) -> DataFrame:
     return graph(spark, at).domain("User").from_(5).out("PERFORMED", "edge.value > 100").df()
 
 
-@query("SELECT event_id AS id FROM events WHERE user_id < 10 AND event_type = 'click'")
-def coproduct_pruned(spark: SparkSession, at: str) -> DataFrame:
-    return graph(spark, at).domain("User").from_(range(10)).out("PERFORMED", "edge.component == 'PERFORMED_click'").df()
+@seeded("User", range(10), "SELECT event_id AS id FROM events WHERE user_id < 10 AND event_type = 'click'", "user_id < 10 AND ")
+def coproduct_pruned(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    return start.out("PERFORMED", "edge.component == 'PERFORMED_click'").df()
 
 
 @query("SELECT c_custkey AS id, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -217,6 +236,12 @@ def keys_roundtrip(spark: SparkSession, at: str) -> DataFrame:
     return g.id_to_key("S", g.key_to_id("S", keys).select("id"))
 
 
+@query("SELECT s_suppkey AS id, s_name AS key FROM supplier")
+def keys_roundtrip_whole(spark: SparkSession, at: str) -> DataFrame:
+    g = GraphSnapshot(spark).with_domain("S", table(spark, at, "supplier"), "s_suppkey", "s_name")
+    return g.id_to_key("S", g.key_to_id("S", g.domain_of("S").nodes.select("key")).select("id"))
+
+
 @query("SELECT count(DISTINCT l_partkey) AS count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7")
 def collect_count(spark: SparkSession, at: str) -> DataFrame:
     return _parts_of(graph(spark, at), 7).collect("count")
@@ -251,9 +276,9 @@ def cel_node_filter(spark: SparkSession, at: str) -> DataFrame:
     return graph(spark, at).domain("Customer").all().filter("node.c_acctbal > 5000 && node.c_mktsegment != 'BUILDING' || node.c_nationkey == 3").df()
 
 
-@query("SELECT event_id AS id FROM events WHERE user_id < 20 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
-def cel_edge_time_window(spark: SparkSession, at: str) -> DataFrame:
-    return graph(spark, at).domain("User").from_(range(20)).out("PERFORMED", "edge.ts >= 1704412800000000 && edge.ts < 1705017600000000").df()
+@seeded("User", range(20), "SELECT event_id AS id FROM events WHERE user_id < 20 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'", "user_id < 20 AND ")
+def cel_edge_time_window(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    return start.out("PERFORMED", "edge.ts >= 1704412800000000 && edge.ts < 1705017600000000").df()
 
 
 @query("SELECT p_partkey AS id FROM part WHERE (CASE WHEN p_size > 25 THEN p_retailprice ELSE p_retailprice * 2 END) < 1000")
@@ -272,9 +297,9 @@ def cel_params(spark: SparkSession, at: str) -> DataFrame:
     return t.with_param("most", 0.05).with_param("flag", "R").df(who=12)
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 30 AND l_extendedprice > p_retailprice * 20 AND o_totalprice > 50000 AND p_size > l_linenumber")
-def cel_all_scopes(spark: SparkSession, at: str) -> DataFrame:
-    return graph(spark, at).domain("Customer").from_(range(30)).out("PLACED").out("CONTAINS", "edge.l_extendedprice > dest.p_retailprice * 20 && src.o_totalprice > 50000 && node.p_size > edge.l_linenumber").df()
+@seeded("Customer", range(30), "SELECT DISTINCT l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 30 AND l_extendedprice > p_retailprice * 20 AND o_totalprice > 50000 AND p_size > l_linenumber", "o_custkey < 30 AND ")
+def cel_all_scopes(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    return start.out("PLACED").out("CONTAINS", "edge.l_extendedprice > dest.p_retailprice * 20 && src.o_totalprice > 50000 && node.p_size > edge.l_linenumber").df()
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 = 3 AND CAST(trunc(o_orderkey / 10) AS BIGINT) % 2 = 0")
@@ -333,22 +358,23 @@ for _name, _cel, _sql in (
     ("state_source_attribute", "state.v:SUM = src.o_totalprice * edge.l_discount", "round(sum(o_totalprice * l_discount), 4) AS v"),
 ):
 
-    def _run(spark: SparkSession, at: str, _cel: str = _cel, _name: str = _name) -> DataFrame:
-        df = graph(spark, at).domain("Customer").from_(range(40)).out("PLACED").out_with_state("CONTAINS", _cel).df()
+    def _run(g: GraphSnapshot, start: api.Traversal, _cel: str = _cel, _name: str = _name) -> DataFrame:
+        df = start.out("PLACED").out_with_state("CONTAINS", _cel).df()
         return df.withColumn("v", F.round("v", 4)) if _name == "state_source_attribute" else df
 
-    query(_STATE.format(_sql), _name)(_run)
+    _run.__name__ = _name
+    seeded("Customer", range(40), _STATE.format(_sql), " WHERE o_custkey < 40")(_run)
 
 
-@query("SELECT l_partkey AS id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1")
-def two_hop_path_count(spark: SparkSession, at: str) -> DataFrame:
-    t = graph(spark, at).domain("Customer").from_(range(100)).out_with_state("PLACED", "state.n:COUNT = 1").out_with_state("CONTAINS", "state.n:SUM = src.n")
+@seeded("Customer", range(100), "SELECT l_partkey AS id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1", " WHERE o_custkey < 100")
+def two_hop_path_count(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    t = start.out_with_state("PLACED", "state.n:COUNT = 1").out_with_state("CONTAINS", "state.n:SUM = src.n")
     return t.df()
 
 
-@query("SELECT l_partkey AS id, min(o_totalprice + l_extendedprice) AS cost FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 AND o_totalprice > 1000 AND l_quantity < 30 GROUP BY 1 HAVING min(o_totalprice + l_extendedprice) < 100000")
-def state_carried(spark: SparkSession, at: str) -> DataFrame:
-    t = graph(spark, at).domain("Customer").from_(range(40)).out_with_state("PLACED", "state.cost:MIN = edge.o_totalprice", "edge.o_totalprice > 1000")
+@seeded("Customer", range(40), "SELECT l_partkey AS id, min(o_totalprice + l_extendedprice) AS cost FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 AND o_totalprice > 1000 AND l_quantity < 30 GROUP BY 1 HAVING min(o_totalprice + l_extendedprice) < 100000", "o_custkey < 40 AND ")
+def state_carried(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    t = start.out_with_state("PLACED", "state.cost:MIN = edge.o_totalprice", "edge.o_totalprice > 1000")
     return t.out_with_state("CONTAINS", "state.cost:MIN = state.cost + edge.l_extendedprice", "edge.l_quantity < 30").filter("state.cost < 100000").df()
 
 
@@ -369,9 +395,9 @@ for _kind, _sql in (
     query(f'SELECT {_sql} AS "{_kind}" FROM customer', f"reduce_{_kind}")(_reduce)
 
 
-@query("SELECT round(sum(o_totalprice * l_discount), 3) AS \"sum\" FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40")
-def reduce_edge_expression(spark: SparkSession, at: str) -> DataFrame:
-    df = graph(spark, at).domain("Customer").from_(range(40)).out("PLACED").edge_values("CONTAINS", "o_totalprice", "*", "l_discount").reduce("sum")
+@seeded("Customer", range(40), "SELECT round(sum(o_totalprice * l_discount), 3) AS \"sum\" FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40", " WHERE o_custkey < 40")
+def reduce_edge_expression(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    df = start.out("PLACED").edge_values("CONTAINS", "o_totalprice", "*", "l_discount").reduce("sum")
     return df.withColumn("sum", F.round("sum", 3))
 
 
@@ -409,9 +435,9 @@ def sexpr_roundtrip(spark: SparkSession, at: str) -> DataFrame:
     return api.run(sexpr.parse(text), graph(spark, at))
 
 
-@query("SELECT DISTINCT l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey < 5 AND s_acctbal > 2000")
-def typed_builder(spark: SparkSession, at: str) -> DataFrame:
-    b = api.TypedBuilder(graph(spark, at).domain("Customer").from_(range(5)), "Customer")
+@seeded("Customer", range(5), "SELECT DISTINCT l_suppkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey < 5 AND s_acctbal > 2000", "o_custkey < 5 AND ")
+def typed_builder(g: GraphSnapshot, start: api.Traversal) -> DataFrame:
+    b = api.TypedBuilder(start, "Customer")
     return b.walk_placed().walk_shipped_by().filter_s_acctbal(">", 2000).traversal.df()
 
 
@@ -561,7 +587,7 @@ def heavy_hitters_exact(spark: SparkSession, at: str) -> DataFrame:
 
 @query(name="heavy_hitters_sketch")
 def heavy_hitters_sketch(spark: SparkSession, at: str) -> DataFrame:
-    return statistics.heavy_hitters_sketch(table(spark, at, "lineitem"), "l_returnflag", 3)
+    return statistics.heavy_hitters_sketch(table(spark, at, "lineitem"), "l_partkey", 25)
 
 
 @query("WITH s AS (SELECT list(l_extendedprice ORDER BY l_extendedprice) AS l, count(*) AS n FROM lineitem) SELECT CAST(b AS INT) AS bucket, l[CAST(ceil(b * n / 20.0) AS INT)] AS upper FROM s, range(1, 21) t(b)")

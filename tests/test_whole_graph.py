@@ -62,3 +62,10 @@ def test_trade_network_is_whole(spark, tmp_path):
     two = rows(entry.queries()["islands_n2"](spark, str(tmp_path)))
     ring = [1, 3, 102, 203]
     assert two == sorted([(a, b, 1) for i, a in enumerate(ring) for b in ring[i + 1 :]] + [(a, 304, 1) for a in ring], key=repr)
+
+
+def test_seeds_are_whole(spark, at, tmp_path):
+    assert dict(rows(entry.queries()["heavy_hitters_sketch"](spark, at))) == Counter(p for parts in ORDERS.values() for p in parts)
+    names = {"s_suppkey": [1, 2, 3], "s_name": ["a", "b", "c"]}
+    spark.createDataFrame(list(zip(*names.values())), "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert rows(entry.queries()["keys_roundtrip_whole"](spark, str(tmp_path)).select("id", "key")) == list(zip(*names.values()))
