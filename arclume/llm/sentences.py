@@ -238,13 +238,12 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
     last = {}
     for q, closing in PAIRS.items():
         last[q] = max(text.rfind(c, begin, stop) for c in closing)
-    ignored: set[int] = set()
-    start = begin
+    unclosed: set[int] = set()
+    pos = first = begin
+    ends: list[int] = []
     while True:
         stack: list[tuple[str, int]] = []
         opened_by: Counter = Counter()
-        ends: list[int] = []
-        first = start
 
         def visible(at: int) -> int:
             while at < stop and (text[at].isspace() or text[at] in ZERO_WIDTH or text[at] == ">" and text[at - 1] == "\n" or text.startswith("&nbsp;", at)):
@@ -256,7 +255,6 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
             ends.append(at)
             first = at
 
-        pos = start
         while m := EVENT.search(text, pos, stop):
             i, pos = m.start(), m.end()
             kind = m.lastgroup
@@ -297,7 +295,7 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
                                 end(pos)
                         elif _begins(text, after, stop) and not text.startswith(GOES_ON, after):
                             end(pos)
-                elif q in PAIRS and i not in ignored and last[q] > i:
+                elif q in PAIRS and last[q] > i and (stack or i not in unclosed):
                     if q == '"' and i > begin and (text[i - 1].isalnum() or i + 1 < stop and text[i + 1].isspace()):
                         continue
                     if q == "‘" and not (i == begin or not text[i - 1].isalnum()):
@@ -398,18 +396,11 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
             if ch in ",;:":
                 continue
             end(pos)
-        if stack and len(ignored) < 20:
-            opener = stack[0][1]
-            kept = [e for e in ends if e <= opener]
-            yield from kept
-            ignored.add(opener)
-            start = kept[-1] if kept else start
-            continue
         if stack:
-            yield from ends
-            start = stack[0][1] + 1
-            last = dict.fromkeys(last, -1)
-            ignored.clear()
+            # Nothing closes what is left open. Behind the outermost the text goes on as if that were no opener; what was open above it would stay open
+            # again, so it opens nothing either where nothing else is open.
+            unclosed.update(i for _, i in stack)
+            pos = stack[0][1] + 1
             continue
         yield from ends
         return

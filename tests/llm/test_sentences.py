@@ -69,3 +69,13 @@ def test_sentence_units(spark):
         (1, 0, 0, 4, "One."), (1, 0, 0, 4, "One."), (1, 1, 5, 9, "Two!"), (1, 1, 5, 9, "Two!"), (None, 0, 0, 5, "𝒳 is."), (None, 1, 6, 10, "Here"),
     ]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_many_unclosed_openers():
+    sad, rest = ["It is down =( at night."] * 40, ["The error says “No lock found. Abort.” and then it stops.", "(It works. It does.)"]
+    text, ends, at = " ".join(sad + rest), [], -1
+    for s in sad + rest:
+        at += 1 + len(s)
+        ends.append(at)
+    assert sentence_ends(text) == ends
+    assert len(sentence_ends("It is down =( at night. " * 20_000 + "(It works. It does.)")) == 20_001
