@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -30,8 +31,12 @@ WIDE_TOKEN = re.compile(rf"[{WIDE}]")
 #: Tokens of a seed, and of the shortest tile, in words and in characters of scripts without spaces.
 SEED, WIDE_SEED = 4, 3
 TILE, WIDE_TILE = 3, 2
-#: Tokens of the shortest stretch that counts: a few words in a row occur by chance.
+#: Opening tokens of an item that alone are too few to count, unless they are all of it.
 SHORT, SHORT_WIDE = 6, 8
+#: Tokens of the longest stretch without a seed, which may be out of reach of any.
+UNSEEDED, WIDE_UNSEEDED = 3, 8
+#: Tokens that may lie between two tiles of a stretch.
+GAP = 24
 #: Sentences that so many items begin with are lead-ins.
 LEAD_IN = 4
 #: Items and tokens of one block: what a task's index holds.
@@ -78,17 +83,23 @@ def read_items(rows: Sequence[tuple[int, str | None]]) -> list[Item]:
     return out
 
 
+def _least(n: int, wide: bool, share: float) -> tuple[int, int]:
+    """Tokens of the shortest tile and of a seed for an item of ``n`` tokens: fewer than usual where ``share`` of it is that short."""
+    part = max(1, math.ceil(n * share - 1e-9))
+    tile = min(WIDE_TILE if wide else TILE, part)
+    return tile, min(WIDE_SEED if wide else SEED, max(tile, (part + 1) // 2))
+
+
 class Index:
     """Seeds of a block of items: runs of SEED tokens, and the items and places they occur at."""
 
-    def __init__(self, items: list[Item]) -> None:
+    def __init__(self, items: list[Item], share: float = 1 / 3) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items = items
         self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for n, it in enumerate(items):
             it.ids = [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in it.toks]
-            k = WIDE_SEED if it.wide else SEED
-            k = min(k, len(it.ids))
+            _, k = _least(len(it.ids), it.wide, share)
             for i in range(len(it.ids) - k + 1):
                 self.seeds.setdefault(tuple(it.ids[i : i + k]), []).append((n, i))
         self.widths = sorted({len(s) for s in self.seeds})
@@ -183,23 +194,71 @@ def _common(a: Sequence[int], b: Sequence[int]) -> int:
     return row[-1]
 
 
+def _run_on(doc: Sequence[int], item: Sequence[int], i: int, j: int, span: int, edits: int, one_in: int) -> tuple[int, int, int, int]:
+    """How far a stretch of ``span`` tokens that ends at (i, j) goes on beyond it: (tokens of doc, tokens of item, edits in all, tokens kept). It goes on
+    over changed tokens only to tokens that match again, and within one edit of ``one_in``."""
+    start_doc, start_item, same = i, j, 0
+    while True:
+        while i < len(doc) and j < len(item) and doc[i] == item[j]:
+            i, j, same = i + 1, j + 1, same + 1
+        found = None
+        for cost in range(1, GAP + 1):
+            reach = span + max(i - start_doc, j - start_item)
+            if (edits + cost) * one_in > reach + cost + len(item) - j:
+                break
+            for x, y in [(cost, cost), *((cost, k) for k in range(cost - 1, -1, -1)), *((k, cost) for k in range(cost - 1, -1, -1))]:
+                n = 0
+                while i + x + n < len(doc) and j + y + n < len(item) and doc[i + x + n] == item[j + y + n]:
+                    n += 1
+                if n and (edits + cost) * one_in <= reach + min(x, y) + n and (found is None or n > found[0]):
+                    found = (n, x, y, cost)
+            if found:
+                break
+        if found is None:
+            return i - start_doc, j - start_item, edits, same
+        n, x, y, cost = found
+        i, j, edits, same = i + x + n, j + y + n, edits + cost, same + n
+
+
+def _run_back(doc: Sequence[int], item: Sequence[int], i: int, j: int, span: int, edits: int, one_in: int) -> tuple[int, int, int, int]:
+    """``_run_on`` in front of a stretch that begins at (i, j)."""
+    reach = 2 * len(item) + GAP
+    return _run_on(doc[max(0, i - reach) : i][::-1], item[:j][::-1], 0, 0, span, edits, one_in)
+
+
 def stretches(doc: Sequence[int], item: Sequence[int], tiled: list[tuple[int, int, int]], one_in: int) -> list[tuple[int, int, int, int, int]]:
     """Stretches (doc from, doc to, item from, item to, words kept): chains of tiles in the order of both, in which at most one
-    token of ``one_in`` is changed, added or left out."""
+    token of ``one_in`` is changed, added or left out; each as it is, and carried on beyond its ends by what still matches."""
     out = []
+
+    def add(a: int, b: int, c: int, d: int, kept: int, edits: int) -> None:
+        out.append((a, b, c, d, kept))
+        for order in ("on back", "back on"):
+            w, x, y, z, spent, same = a, b, c, d, edits, kept
+            for way in order.split():
+                if way == "on":
+                    p, q, spent, n = _run_on(doc, item, x, z, max(x - w, z - y), spent, one_in)
+                    x, z = x + p, z + q
+                else:
+                    p, q, spent, n = _run_back(doc, item, w, y, max(x - w, z - y), spent, one_in)
+                    w, y = w - p, y - q
+                same += n
+            if (w, x) != (a, b):
+                out.append((w, x, y, z, same))
+
     for first in range(len(tiled)):
         a, b, n = tiled[first]
         start_doc, start_item, kept, edits, end_doc, end_item = a, b, n, 0, a + n, b + n
-        out.append((start_doc, end_doc, start_item, end_item, kept))
+        add(start_doc, end_doc, start_item, end_item, kept, edits)
         at = first
         while True:
             best = None
             for nxt in range(at + 1, len(tiled)):
                 x, y, m = tiled[nxt]
                 gap_doc, gap_item = x - end_doc, y - end_item
-                if gap_doc > 24:
+                if gap_doc > GAP:
                     break
-                if gap_item < 0 or gap_item > 24 or gap_doc < 0:
+                if gap_item < 0 or gap_item > GAP or gap_doc < 0:
                     continue
                 same = _common(doc[end_doc:x], item[end_item:y]) if gap_doc and gap_item else 0
                 cost = max(gap_doc, gap_item) - same
@@ -212,23 +271,24 @@ def stretches(doc: Sequence[int], item: Sequence[int], tiled: list[tuple[int, in
             edits += cost
             end_doc, end_item, kept, at = x + m, y + m, kept + same + m, nxt
             if edits * one_in <= max(end_item - start_item, end_doc - start_doc):
-                out.append((start_doc, end_doc, start_item, end_item, kept))
+                add(start_doc, end_doc, start_item, end_item, kept, edits)
     return out
 
 
-def coverage(doc: Sequence[int], item: Sequence[int], wide: bool) -> tuple[float, int]:
+def coverage(doc: Sequence[int], item: Sequence[int], wide: bool, share: float = 1 / 3) -> tuple[float, int]:
     """(share of the item's tokens carried in its order in one or two stretches, tokens of the longer)."""
-    one_in, least = (4, WIDE_TILE) if wide else (8, TILE)
-    spans = stretches(doc, item, tiles(doc, item, least), one_in)
-    own = SHORT_WIDE if wide else SHORT
-    spans = [s for s in spans if s[3] - s[2] >= own]
+    tile, _ = _least(len(item), wide, share)
+    spans = list(dict.fromkeys(s[:4] for s in stretches(doc, item, tiles(doc, item, tile), 4 if wide else 8)))
     if not spans:
         return 0.0, 0
     longest = max(s[3] - s[2] for s in spans)
-    best = longest
+    few = min(SHORT_WIDE if wide else SHORT, len(item))
+    best = max((s[3] - s[2] for s in spans if s[2] > 0 or s[3] >= few), default=0)
     # the best second stretch after each, in both orders
     spans.sort(key=lambda s: s[1])
     for i, s in enumerate(spans):
+        if s[3] - s[2] + longest <= best:
+            continue
         for t in spans[i + 1 :]:
             if t[0] >= s[1] and t[2] >= s[3]:
                 best = max(best, s[3] - s[2] + t[3] - t[2])
@@ -254,7 +314,9 @@ def leaks_of(text: str, index: Index, share: float) -> list[tuple[int, float]]:
                     window += [-1] * 32
                 low, high = p - margin if high is None else max(p - margin, high), p + margin
         window += ids[max(0, low) : high]
-        best, _ = coverage(window, it.ids, it.wide)
+        best, _ = coverage(window, it.ids, it.wide, share)
+        if best < share <= best + (WIDE_UNSEEDED if it.wide else UNSEEDED) / len(it.ids):
+            best, _ = coverage(ids, it.ids, it.wide, share)  # what is missing may stand where no seed is
         if best >= share:
             out.append((it.item, best))
     return out
@@ -293,7 +355,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, doc
         shared = documents.sparkSession.sparkContext.broadcast([(i.item, i.toks, i.wide) for i in part])
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            index = Index([Item(*x) for x in shared.value])
+            index = Index([Item(*x) for x in shared.value], share)
             for b in batches:
                 found = [(d, i, c) for d, t in zip(b["doc_id"], b["_text"]) if isinstance(t, str) for i, c in leaks_of(t, index, share)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "coverage"])

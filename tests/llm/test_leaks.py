@@ -93,3 +93,18 @@ def test_find_leaks(spark, items, block):
     assert rows(got.select("doc_id", "item_id")) == [(1, 0), (4, 1), (5, 2), (5, 23), (None, 0)]
     assert got.filter("coverage < 1").count() == 0
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
+
+
+def test_short_stretches():
+    rng = random.Random(7)
+    w = rng.sample(WORDS, 36)
+    items = [(0, " ".join(w)), (1, " ".join(x + "x" for x in w[:5])), (2, " ".join(x + "y" for x in w[:15]))]
+    far = " ".join(f"z{i}" for i in range(200))
+    carries = lambda *runs: found(items, f" {far} ".join(" ".join(r) for r in runs))
+    assert carries(w[2:7], w[20:27]) == carries(w[2:6], w[20:28]) == carries(w[2:11], w[20:23]) == {0}
+    assert carries(w[2:6], w[20:27]) == carries(w[20:28], w[2:6]) == carries(w[:7]) == set()
+    assert carries([x + "x" for x in w[:5]]) == {1}
+    assert carries([x + "y" for x in w[4:9]]) == {2} and carries([x + "y" for x in w[:5]]) == set()
+    # a word behind a changed one at the end of a stretch
+    assert carries([*w[5:15], "other", w[16]]) == carries([w[5], "other", *w[7:17]]) == {0}
+    assert carries([*w[5:15], "other", "else", w[17]]) == set()
