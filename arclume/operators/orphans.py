@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
     semi-joins the children to the rows found in the round before, until a round finds none. Comes out as
     (table_name, row_key string, fk, kind 'direct' or 'inherited', round int), one row for each orphan and key:
     an orphan's own missing references, or the key through which it first inherited; a direct orphan is not
-    listed as inherited too. Repeated rows count once; an empty table orphans all that refers to it.
+    listed as inherited too. More than ``max_rounds`` rounds with inherited orphans raise. Repeated rows count once; an empty table orphans all that refers to it.
     """
     spark = next(iter(tables.values())).sparkSession
     out = "table_name string, row_key string, fk string, kind string, round int"
@@ -104,7 +105,7 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
     start = reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], out)
     new = materialize(start, "orphans")
     rounds = [new]
-    for n in range(1, max_rounds + 1):
+    for n in count(1):
         grown = []
         reached = {r[0] for r in new.select("table_name").distinct().collect()}  # names of tables, no rows
         for fk in foreign_keys:
@@ -120,6 +121,8 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
         new = materialize(every.join(known, ["table_name", "row_key"], "left_anti"), "orphans")
         if new.isEmpty():
             break
+        if n > max_rounds:
+            raise RuntimeError(f"orphans are still inherited after {max_rounds} rounds")
         rounds.append(new)
     return reduce(DataFrame.unionByName, rounds)
 

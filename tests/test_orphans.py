@@ -41,6 +41,14 @@ def test_cascade_direct_inherited_and_cycles(spark):
     assert cascade({"a": a.limit(0), "b": b}, {"a": "id", "b": "id"}, fks[1:2]).filter("kind = 'direct'").count() == 3
 
 
+def test_cascade_raises_if_cut_short(spark):
+    a = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id int, up int")
+    fks = [ForeignKey("up", "a", ("up",), "a", ("id",))]
+    assert cascade({"a": a}, {"a": "id"}, fks, max_rounds=2).count() == 3
+    with pytest.raises(RuntimeError):
+        cascade({"a": a}, {"a": "id"}, fks, max_rounds=1)
+
+
 def test_edge_orphans(spark):
     relations = spark.createDataFrame([(2, "userPostsPost", 1, 3), (10, "likes", 1, 3)], "relation_id int, relation_name string, src_domain_id int, tgt_domain_id int")
     domains = spark.createDataFrame([(1, "User", "int64"), (3, "Post", "int64")], "domain_id int, domain_name string, key_type string")
