@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from arclume.session import spread
 
@@ -59,12 +58,21 @@ PAIRS = {"„": "“”", "“": "”“", "”": "”", "«": "»", "»": "«",
 OPENERS = {c: "".join(o for o in PAIRS if c in PAIRS[o]) for c in "".join(PAIRS.values())}
 BRACKETS = "([{（【［〔"
 CLOSERS = "”“»«›’\")]}」』）】》〉］〕"
-EVENT = re.compile(
-    r"(?P<skip>(?:https?|ftp)://[!#-'*-;=?-Z\\^-_a-z{}~]+|`[^`\n]*(?:\n[^`\n]+)?`|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+)"
-    r"|(?P<quote>[„“”«»‹›‘’\"()\[\]{}「」『』（）【】《》〈〉［］〔〕])"
+LINKED, CODED, MAILED = r"(?:https?|ftp)://[!#-'*-;=?-Z\\^-_a-z{}~]+", r"`[^`\n]*(?:\n[^`\n]+)?`", r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+"
+MARKS = (
+    r"(?P<quote>[„“”«»‹›‘’\"()\[\]{}「」『』（）【】《》〈〉［］〔〕])"
     r"|(?P<end>[.!?…。！？｡।॥؟۔‼⁇⁈⁉።．‥;\u037e](?:[\u200b-\u200d\u00ad]*[ \u00a0]?[.!?…？！]|[!?…。！？؟])*)"
     r"|(?P<thai>(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า|ฮะ)(?=[\s\u200b-\u200d\ufeff]|$|[\"”»)）]))"
 )
+
+
+@lru_cache(maxsize=None)
+def _events(links: bool, code: bool, mail: bool) -> re.Pattern:
+    """The marks that the automaton stops at, in texts that hold links, code or addresses or don't."""
+    skip = "|".join(p for p, there in ((LINKED, links), (CODED, code), (MAILED, mail)) if there)
+    return re.compile(f"(?P<skip>{skip})|{MARKS}" if skip else MARKS)
+
+
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
 BULLET = re.compile(r"([ \t]*)(?:[-*+•‣·–]|\(?[a-zA-Z]\)|\(\d+\))[ \t]+(?=\S)")
@@ -73,6 +81,7 @@ NUMBER = re.compile(r"([ \t]*)(\d{1,9})[.)）、][ \t]+(?=\S)")
 MARKUP = re.compile(r"(?:</\w+>|\*{1,3}|_{1,3}|~~)+(?=\s|&nbsp;|$)")
 WORD = re.compile(r"[\w-]+")
 TOKEN = re.compile(r"[^\s(\[«„“\"]*$")
+INDENT = re.compile(r"(?: {4}|\t)")
 INITIALS = re.compile(r"(?:[^\W\d_]\.\s*){1,3}[^\W\d_]{2}")
 LINK = re.compile(r"[ \t>]*(?:<?(?:https?|ftp)://\S+>?|!?\[[^\]\n]*\]\([^)\n]*\))[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:- *){3,}|(?:\* *){3,}|(?:_ *){3,}|=+)[ \t]*$")
@@ -182,12 +191,12 @@ def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
             yield "code", at, lines[j][0] + len(lines[j][1])
             i, number, listed = j + 1, None, False
             continue
-        if begin is None and re.match(r"(?: {4}|\t)", line) and not listed:
+        if begin is None and INDENT.match(line) and not listed:
             j = k = i
-            while k < len(lines) and (re.match(r"(?: {4}|\t)", lines[k][1]) or not lines[k][1].strip()):
+            while k < len(lines) and (INDENT.match(lines[k][1]) or not lines[k][1].strip()):
                 if lines[k][1].strip():
                     j = k
-                elif k + 1 < len(lines) and lines[k + 1][1].strip() and not re.match(r"(?: {4}|\t)", lines[k + 1][1]):
+                elif k + 1 < len(lines) and lines[k + 1][1].strip() and not INDENT.match(lines[k + 1][1]):
                     break
                 k += 1
             yield "code", at, lines[j][0] + len(lines[j][1])
@@ -233,29 +242,33 @@ def _begins(text: str, at: int, stop: int) -> bool:
     return ch not in ",;:，、；：—–-)]}」』）&/|=+<%·"
 
 
-def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
-    """Ends of the sentences of one paragraph or list item, without the last."""
-    last = {}
-    for q, closing in PAIRS.items():
-        last[q] = max(text.rfind(c, begin, stop) for c in closing)
+def _prose(text: str, begin: int, stop: int, event: re.Pattern) -> Iterator[int]:
+    """Ends of the sentences of one paragraph or list item, without the last; ``event`` finds the marks to stop at."""
+    last: dict[str, int] = {}
     unclosed: set[int] = set()
+
+    def closes(q: str, at: int) -> bool:
+        """Whether a mark that closes ``q`` stands behind ``at``."""
+        if q not in last:
+            last[q] = max(text.rfind(c, begin, stop) for c in PAIRS[q])
+        return last[q] > at
+
+    def visible(at: int) -> int:
+        while at < stop and ((ch := text[at]).isspace() or ch in ZERO_WIDTH or ch == ">" and text[at - 1] == "\n" or ch == "&" and text.startswith("&nbsp;", at)):
+            at += 6 if ch == "&" else 1
+        return at
+
+    def end(at: int) -> None:
+        nonlocal first
+        ends.append(at)
+        first = at
+
     pos = first = begin
     ends: list[int] = []
     while True:
         stack: list[tuple[str, int]] = []
-        opened_by: Counter = Counter()
-
-        def visible(at: int) -> int:
-            while at < stop and (text[at].isspace() or text[at] in ZERO_WIDTH or text[at] == ">" and text[at - 1] == "\n" or text.startswith("&nbsp;", at)):
-                at += 6 if text[at] == "&" else 1
-            return at
-
-        def end(at: int) -> None:
-            nonlocal first
-            ends.append(at)
-            first = at
-
-        while m := EVENT.search(text, pos, stop):
+        opened_by = dict.fromkeys(PAIRS, 0)
+        while m := event.search(text, pos, stop):
             i, pos = m.start(), m.end()
             kind = m.lastgroup
             if kind == "skip":
@@ -264,7 +277,7 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
                 continue
             if kind == "quote":
                 q = m[0]
-                top = next((k for k in range(len(stack) - 1, -1, -1) if q in PAIRS[stack[k][0]]), None) if any(opened_by[o] for o in OPENERS.get(q, "")) else None
+                top = next((k for k in range(len(stack) - 1, -1, -1) if q in PAIRS[stack[k][0]]), None) if stack and any(opened_by[o] for o in OPENERS.get(q, "")) else None
                 # a mark that both opens and closes closes if it was opened; an apostrophe does neither
                 if q in "‘’" and 0 < i < stop - 1 and text[i - 1].isalnum() and text[i + 1].isalnum():
                     continue
@@ -295,7 +308,7 @@ def _prose(text: str, begin: int, stop: int) -> Iterator[int]:
                                 end(pos)
                         elif _begins(text, after, stop) and not text.startswith(GOES_ON, after):
                             end(pos)
-                elif q in PAIRS and last[q] > i and (stack or i not in unclosed):
+                elif q in PAIRS and closes(q, i) and (stack or i not in unclosed):
                     if q == '"' and i > begin and (text[i - 1].isalnum() or i + 1 < stop and text[i + 1].isspace()):
                         continue
                     if q == "‘" and not (i == begin or not text[i - 1].isalnum()):
@@ -414,8 +427,9 @@ def sentence_ends(text: str | None) -> list[int]:
     if not text:
         return []
     out: list[int] = []
+    event = _events("://" in text, "`" in text, "@" in text)
     for kind, begin, stop in _blocks(text):
-        marks = [*(_prose(text, begin, stop) if kind == "prose" else []), stop]
+        marks = [*(_prose(text, begin, stop, event) if kind == "prose" else []), stop]
         low = begin
         for mark in marks:
             at = mark
@@ -427,23 +441,55 @@ def sentence_ends(text: str | None) -> list[int]:
     return out
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _ends(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(sentence_ends)
-
-
-def sentence_units(documents: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
-    """One row per sentence unit: (keep, sent_no, sent_start, sent_end, sentence).
+def sentence_units(documents: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), with_text: bool = True) -> DataFrame:
+    """One row per sentence unit: (keep, sent_no, sent_start, sent_end, sentence); ``with_text`` False leaves ``sentence`` out.
 
     ``sent_no`` counts from 0; ``sent_start`` is where the unit's first visible character is, ``sent_end`` lies just
-    behind the last, both in code points. Every document is cut on its own and whole: no shuffle, and rows repeated
+    behind the last, both in code points. Every document is cut on its own and whole, in one pass: no shuffle, and rows repeated
     or of any length come out as they are. A document without visible text has no rows.
     """
-    cut = spread(documents.select(*keep, F.col(text).alias("_text"))).select("*", _ends("_text").alias("_ends"))
-    rows = cut.select("*", F.posexplode("_ends").alias("sent_no", "sent_end"))
-    low = F.when(F.col("sent_no") > 0, F.element_at("_ends", F.col("sent_no"))).otherwise(F.lit(0))
-    raw = F.substring(F.col("_text"), low + 1, F.col("sent_end") - low)
-    sentence = F.regexp_replace(raw, r"(?U)^\s+", "")
-    names = [c for c in cut.columns if c not in ("_text", "_ends")]
-    return rows.select(*names, "sent_no", (F.col("sent_end") - F.char_length(sentence)).alias("sent_start"), "sent_end", sentence.alias("sentence"))
+    rows = spread(documents.select(*keep, F.col(text).alias("_text")))
+    kept = [c for c in rows.columns if c != "_text"]
+    schema = rows.select(*[f"`{c}`" for c in kept]).schema.add("sent_no", "integer").add("sent_start", "integer").add("sent_end", "integer")
+    if with_text:
+        schema = schema.add("sentence", "string")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
+            of: list[int] = []
+            number: list[int] = []
+            starts: list[int] = []
+            stops: list[int] = []
+            said: list[str] = []
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(of, pa.int32())
+                columns = [c.take(at) for c in own] + [pa.array(x, pa.int32()) for x in (number, starts, stops)] + ([pa.array(said, pa.string())] if with_text else [])
+                for x in (of, number, starts, stops, said):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            size = 0
+            for row, t in enumerate(b.column(b.schema.get_field_index("_text"))):
+                t = t.as_py()
+                ends = sentence_ends(t)
+                low = 0
+                for n, at in enumerate(ends):
+                    while t[low].isspace():
+                        low += 1
+                    number.append(n)
+                    starts.append(low)
+                    if with_text:
+                        said.append(t[low:at])
+                    low = at
+                of += [row] * len(ends)
+                stops += ends
+                size += len(t or "")
+                if len(of) > 50_000 or with_text and size > 1 << 24:
+                    yield flush()
+                    size = 0
+            if of:
+                yield flush()
+
+    return rows.mapInArrow(cut, schema)

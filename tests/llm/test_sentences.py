@@ -69,6 +69,12 @@ def test_sentence_units(spark):
         (1, 0, 0, 4, "One."), (1, 0, 0, 4, "One."), (1, 1, 5, 9, "Two!"), (1, 1, 5, 9, "Two!"), (None, 0, 0, 5, "𝒳 is."), (None, 1, 6, 10, "Here"),
     ]
     assert sentence_units(df.limit(0)).count() == 0
+    short = sentence_units(df, with_text=False)
+    assert short.columns == ["doc_id", "sent_no", "sent_start", "sent_end"] and rows(short) == rows(got.drop("sentence"))
+    many = sentence_units(spark.createDataFrame([(1, "One two. " * 30_000)], "doc_id long, text string"), keep=("doc_id", F.lit("x").alias("kind")))
+    assert many.count() == 30_000 and many.filter("sent_end - sent_start = 8 and sentence = 'One two.' and kind = 'x'").count() == 30_000
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
 def test_many_unclosed_openers():
