@@ -42,6 +42,9 @@ etc s.s
 """.split()
 #: Also an abbreviation before a name when a capital follows (and then no end).
 BEFORE_NAME = {"г", "М", "д"}
+#: What belongs to a country in front of it, with a capital.
+OF_COUNTRY = frozenset("Army Navy Air Marine Marines Coast Forces Senate House Congress President Government Department Treasury Supreme Court District Census Bureau Secretary State States Constitution Parliament Embassy Patent Postal Customs Federal Dollar".split())
+COUNTRIES = {"U.S", "U.K"}
 #: Months after an ordinal number.
 MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split()
 #: Names that open a sentence in lower case.
@@ -395,6 +398,8 @@ def _prose(text: str, begin: int, stop: int, event: re.Pattern) -> Iterator[int]
                     continue
                 if kind == "end" and (not _begins(text, after, stop) or word in BEFORE_NAME and ch.isupper()):
                     continue
+                if word in COUNTRIES and (name := WORD.match(text, after, stop)) and name[0] in OF_COUNTRY:
+                    continue
                 if kind == "number" and not _begins(text, after, stop):
                     continue
                 end(pos)

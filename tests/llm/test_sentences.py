@@ -32,6 +32,7 @@ CASES = [
     "EDIT: (It is up, too.)| PS: it's \"fine\"|\n\nWorks for me 👍|",
     "It is <b>near **St.** Marsk.</b>| **One** more.**| Two __ends.__&nbsp;|Three.|".replace(".**|", ".|").replace("&nbsp;|", "|&nbsp;"),
     "He said (it fails :( and so on.| Never mind.|",
+    "The U.S. Army won.| They live in the U.S.| The host is up.|",
 ]
 
 
