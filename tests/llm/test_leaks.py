@@ -26,9 +26,9 @@ def body(items, i):
     return items[i][1].replace(LEAD, "").strip()
 
 
-def found(items, text):
+def found(items, text, ordered=True):
     ix = leaks.Index(leaks.read_items(items))
-    return {i for i, _ in leaks.leaks_of(text, ix, 1 / 3)}
+    return {i for _, i, _ in leaks.leaks_in([text], ix, 1 / 3, ordered)}
 
 
 def test_whole_parts_and_disguise(items):
@@ -108,3 +108,27 @@ def test_short_stretches():
     # a word behind a changed one at the end of a stretch
     assert carries([*w[5:15], "other", w[16]]) == carries([w[5], "other", *w[7:17]]) == {0}
     assert carries([*w[5:15], "other", "else", w[17]]) == set()
+
+
+def test_markup_of_any_length(items):
+    b = body(items, 3)
+    w = b.split()
+    tag = f'<span style="{"color: red; " * 40}">'
+    for mark in (tag, f"<!-- {'note ' * 100} -->", "<!-- two\nlines -->", "<a\n href='x'\n class=\"y\">", f"[x](http://a.test/{'y' * 600}(z))"):
+        assert found(items, " ".join(x + (mark if i % 4 == 3 else "") for i, x in enumerate(w))) == {3}
+    assert found(items, f"a < {b} > c <!-- {b}") == {3}
+    for part in ("](", "<!--", "<a ", "-\n"):
+        assert found(items, part * 50_000 + b) == {3}
+
+
+def test_moved_parts_only_out_of_order(items):
+    w = body(items, 3).split()
+    moved = " ".join(" ".join(w[i : i + 4]) + " filler" for i in range(44, -1, -4))
+    assert found(items, moved) == set() and found(items, moved, ordered=False) == {3}
+    assert found(items, " ".join(w[:9]), ordered=False) == set()
+
+
+def test_too_many_items(spark, items, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_ITEMS", 3)
+    with pytest.raises(ValueError):
+        leaks.find_leaks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
