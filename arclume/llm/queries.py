@@ -44,6 +44,20 @@ def p4_daily(spark: SparkSession, at: str) -> DataFrame:
     return distinct.distinct_by(distinct.inserted_keys(nodes, domains), ["day", "domain_id"], "key")
 
 
+def p4_daily_bound(spark: SparkSession, at: str) -> DataFrame:
+    """The exact counts beside ``p4_daily``: whether each estimate lies within six errors of them."""
+    nodes, domains = tables(spark, at, "node_deltas", "graph_domains")
+    exact = distinct.inserted_keys(nodes, domains).filter("key IS NOT NULL").distinct().groupBy("day", "domain_id").agg(F.count(F.lit(1)).alias("n"))
+    both = p4_daily(spark, at).withColumnsRenamed({"day": "_day", "domain_id": "_domain"}).join(exact, F.col("_day").eqNullSafe(F.col("day")) & F.col("_domain").eqNullSafe(F.col("domain_id")), "full_outer")
+    return both.select("day", "domain_id", "n", (F.abs(F.col("distinct") - F.col("n")) <= 6 * F.col("error") * F.col("n") + 1).alias("within"))
+
+
+def p4_verdicts(spark: SparkSession, at: str) -> DataFrame:
+    """Every statistic with its verdict, of coarse bitmaps that leave many to the exact count."""
+    nodes, stats, domains = tables(spark, at, "node_deltas", "domain_statistics", "graph_domains")
+    return distinct.audit_statistics(distinct.inserted_keys(nodes, domains), stats, target=0.05, sure=30.0).select("stat_id", "est_count", "wrong")
+
+
 def p4_combinations(spark: SparkSession, at: str) -> DataFrame:
     nodes, stats, domains = tables(spark, at, "node_deltas", "domain_statistics", "graph_domains")
     return distinct.audit_statistics(distinct.inserted_keys(nodes, domains), stats)
@@ -74,7 +88,7 @@ def p8_sentences(spark: SparkSession, at: str) -> DataFrame:
     return sentences.sentence_units(table(spark, at, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_combinations": p4_combinations, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_daily_bound": p4_daily_bound, "p4_verdicts": p4_verdicts, "p4_combinations": p4_combinations, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _SOURCES = f"SELECT e.relation_id, {key_sql('e.src_key', 'd.key_type')} AS src_key FROM edge_deltas e JOIN graph_relations r USING (relation_id) JOIN graph_domains d ON d.domain_id = r.src_domain_id"
 _SETS = f"""m AS (SELECT DISTINCT relation_id, src, tgt FROM ({edges_sql("e.op = 'I'")}) x WHERE src IS NOT NULL AND tgt IS NOT NULL
@@ -83,13 +97,17 @@ s AS (SELECT relation_id, src, count(*) AS n FROM m GROUP BY ALL),
 o AS (SELECT a.relation_id, a.src AS src_key_a, b.src AS src_key_b, count(*) AS shared FROM m a JOIN m b ON a.relation_id = b.relation_id AND a.tgt = b.tgt AND a.src < b.src GROUP BY ALL),
 p AS (SELECT o.*, x.n AS size_a, y.n AS size_b FROM o JOIN s x ON x.relation_id = o.relation_id AND x.src = o.src_key_a JOIN s y ON y.relation_id = o.relation_id AND y.src = o.src_key_b)"""
 
+_KEYS = f"""k AS (SELECT DISTINCT domain_id, CAST(event_ts AT TIME ZONE 'UTC' AS DATE) AS day, key FROM ({nodes_sql("node_deltas")}) WHERE op = 'I' AND key IS NOT NULL AND event_ts IS NOT NULL)"""
+_COUNTS = f"""{_KEYS},
+s AS (SELECT DISTINCT stat_id, from_day, to_day, domain_ids, est_count FROM domain_statistics WHERE est_count >= 0),
+t AS (SELECT s.stat_id, s.from_day, s.to_day, s.domain_ids, s.est_count, count(DISTINCT k.key) AS n FROM s LEFT JOIN k ON list_contains(s.domain_ids, k.domain_id) AND k.day BETWEEN s.from_day AND s.to_day GROUP BY ALL)"""
+
 SQL = {
     "p1_found": f"SELECT relation_id, src_key FROM ({_SOURCES}) WHERE src_key IS NOT NULL GROUP BY ALL HAVING count(*) * 250 >= (SELECT count(*) FROM edge_deltas)",
     "p1_top_sources": f"SELECT relation_id, src_key, count(*) AS n FROM ({_SOURCES}) WHERE src_key IS NOT NULL GROUP BY ALL ORDER BY n DESC, relation_id, src_key LIMIT 100",
     "p3_found": f"WITH {_SETS} SELECT relation_id, src_key_a, src_key_b FROM p WHERE least(size_a, size_b) >= 30 AND shared * 2 >= least(size_a, size_b)",
     "p3_overlaps": f"WITH {_SETS} SELECT * FROM p",
-    "p4_found": f"""WITH k AS (SELECT DISTINCT domain_id, CAST(event_ts AT TIME ZONE 'UTC' AS DATE) AS day, key FROM ({nodes_sql("node_deltas")}) WHERE op = 'I' AND key IS NOT NULL AND event_ts IS NOT NULL),
-s AS (SELECT DISTINCT stat_id, from_day, to_day, domain_ids, est_count FROM domain_statistics WHERE est_count >= 0),
-t AS (SELECT s.stat_id, s.est_count, count(DISTINCT k.key) AS n FROM s LEFT JOIN k ON list_contains(s.domain_ids, k.domain_id) AND k.day BETWEEN s.from_day AND s.to_day GROUP BY ALL)
-SELECT DISTINCT stat_id FROM t WHERE abs(est_count - n) * 10 > n""",
+    "p4_found": f"WITH {_COUNTS} SELECT DISTINCT stat_id FROM t WHERE abs(est_count - n) * 10 > n",
+    "p4_verdicts": f"WITH {_COUNTS} SELECT stat_id, est_count, abs(est_count - n) * 10 > n AS wrong FROM t",
+    "p4_daily_bound": f"WITH {_KEYS} SELECT day, domain_id, count(*) AS n, TRUE AS within FROM k GROUP BY 1, 2",
 }

@@ -64,6 +64,12 @@ def test_bitmap_sizes():
         assert pages == 1 or distinct.standard_error(n, pages // 2 * distinct.PAGE) > 0.01
 
 
+def test_pages_column(spark):
+    ns = [0, 1, 32_768, 200_000, 10**6, 10**8, 10**10, 10**12, 10**13]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", distinct.pages_column(F.col("n"), 0.01).alias("p")).collect()
+    assert {r["n"]: r["p"] for r in got} == {n: distinct.pages_for(n, 0.01) for n in ns}
+
+
 def test_distinct_by_and_merge(spark):
     df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 20_000).cast("string").alias("v"), F.lit(1).alias("distinct"))
     df = df.unionByName(spark.createDataFrame([(9, None, 1), (None, "x", 1), (None, "x", 1)], "g long, v string, distinct int"))
@@ -74,8 +80,17 @@ def test_distinct_by_and_merge(spark):
         assert abs(got[g]["distinct"] - true) < 5 * 0.01 * true and got[g]["error"] <= 0.01
     maps = distinct.bitmaps(df, ["g"], "v", 2)
     once, twice = distinct.merge(maps.withColumn("all", F.lit(1)), ["all"]), distinct.merge(maps.union(maps).withColumn("all", F.lit(1)), ["all"])
-    assert rows(distinct.estimate(once, ["all"], 2)) == rows(distinct.estimate(twice, ["all"], 2))
-    assert abs(distinct.estimate(once, ["all"], 2).first()["distinct"] - 20_001) < 1000
+    assert rows(distinct.estimate(once, ["all"])) == rows(distinct.estimate(twice, ["all"]))
+    assert abs(distinct.estimate(once, ["all"]).first()["distinct"] - 20_001) < 1000
+    # maps of different sizes and kinds merge to the smallest
+    sizes = spark.createDataFrame([(0, 4, 20_000), (1, 32_768, 20_000), (2, 8, 20_000), (None, 2, 2)], "g long, pages long, rows long")
+    mixed = distinct.bitmaps(df, ["g"], "v", sizes)
+    assert mixed.filter("g = 1").agg(F.count("bits"), F.count("bit")).first()[0] == 0  # sparse: places, not pages
+    assert mixed.filter("g = 0").count() == 4 and mixed.filter("g = 9").count() == 0
+    whole = distinct.merge(mixed.withColumn("all", F.lit(1)), ["all"])
+    assert rows(whole.select("page", "bits")) == rows(once.select("page", "bits"))
+    wide = {r["g"]: r["distinct"] for r in distinct.estimate(mixed, ["g"]).collect()}
+    assert abs(wide[1] - 20_000) < 20  # of 32,768 pages
     assert distinct.distinct_by(df.limit(0), ["g"], "v").count() == 0
 
 
