@@ -16,13 +16,14 @@ LOCAL_VALUES = 1 << 20
 
 
 def local_counts(df: DataFrame, columns: Sequence[str], leaders: int, max_values: int = LOCAL_VALUES) -> DataFrame:
-    """Counts of the values of ``columns`` on each node: (columns, n, node_rows, leader).
+    """Counts of the values of ``columns`` on each node: (columns, n, node_rows, leader, below, first).
 
     A node is a part of the input that one task reads, or of it what fits ``max_values`` distinct values, so
-    memory is bounded. ``leader`` marks the node's ``leaders`` most frequent values, and all that tie with the last.
+    memory is bounded. ``leader`` marks the node's ``leaders`` most frequent values, and all that tie with the last; no other value of
+    the node occurs more than ``below`` times there. ``first`` marks one row of each node.
     """
     columns = list(columns)
-    schema = df.select(*columns).schema.add("n", "long").add("node_rows", "long").add("leader", "boolean")
+    schema = df.select(*columns).schema.add("n", "long").add("node_rows", "long").add("leader", "boolean").add("below", "long").add("first", "boolean")
 
     def count(batches):  # noqa: ANN001, ANN202
         import numpy as np
@@ -42,7 +43,9 @@ def local_counts(df: DataFrame, columns: Sequence[str], leaders: int, max_values
             least = 0
             if whole.num_rows > leaders:
                 least = int(np.partition(n.to_numpy(zero_copy_only=False), -leaders)[-leaders])
-            whole = whole.append_column("node_rows", pa.array([rows] * whole.num_rows, pa.int64())).append_column("leader", pc.greater_equal(whole["n"], int(least)))
+            size = whole.num_rows
+            whole = whole.append_column("node_rows", pa.array(np.full(size, rows))).append_column("leader", pc.greater_equal(whole["n"], int(least)))
+            whole = whole.append_column("below", pa.array(np.full(size, max(0, least - 1)))).append_column("first", pa.array(np.arange(size) == 0))
             return whole.combine_chunks().to_batches(max_chunksize=50_000)
 
         for b in batches:
@@ -71,10 +74,11 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int | None = None,
     both: the k most frequent of those. Rows with a null in ``columns`` count for the base of ``min_share`` but
     are no values. An empty table has none.
 
-    Phase 1: nodes count locally and send their leaders; the partial sums of these give a lower bound t of the
-    count that a result needs. Phase 2: a value with count t has at least t * (node's rows / all rows) on some node, so
-    the values above their node's share are fetched: no other can be a result. Phase 3: the counts of those
-    are summed over all nodes. Rare values stay on their nodes, as local counts in the shared folder.
+    Phase 1: nodes count locally and send their leaders. A value's leading counts sum up to a lower bound of its count; with what a node's other
+    values have at most, for the nodes that it does not lead, to an upper bound. The k-th largest lower bound, or the share, is the count t
+    that a result needs. Phase 2: leaders whose upper bound reaches t are fetched. Others matter only if what the nodes' other values have at
+    most sums up to t: then those are fetched that are above their node's share t * (node's rows / all rows), as any result is on some
+    node. Phase 3: the counts of what was fetched are summed over all nodes. Rare values stay on their nodes, as local counts in the shared folder.
     """
     if k is None and min_share is None:
         raise ValueError("k or min_share is needed")
@@ -86,15 +90,20 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int | None = None,
     full = F.lit(True)
     for c in columns:
         full = full & F.col(c).isNotNull()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows, others = counts.agg(F.sum("n"), F.sum(F.when(F.col("first"), F.col("below")))).first()
+    total, others = rows or 0, others or 0
     values = counts.filter(full)
+    leading = materialize(values.filter("leader").groupBy(*columns).agg(F.sum("n").alias("low"), (F.sum(F.col("n") - F.col("below")) + others).alias("high")), "leaders")
     least = max(1.0, min_share * total) if min_share else 1.0
     if k is not None:
-        sums = values.filter("leader").groupBy(*columns).agg(F.sum("n").alias("n")).select("n").orderBy(F.desc("n")).limit(k)
-        kth = sums.agg(F.min("n"), F.count("n")).first()
+        kth = leading.select("low").orderBy(F.desc("low")).limit(k).agg(F.min("low"), F.count("low")).first()
         if kth[1] == k:
             least = max(least, float(kth[0]))
-    fetched = values.filter(F.col("n") * F.lit(float(max(total, 1))) >= F.lit(least * (1 - 1e-12)) * F.col("node_rows")).select(*columns).distinct()
+    need = F.lit(least * (1 - 1e-12))
+    fetched = leading.filter(F.col("high") >= need).select(*columns)
+    if others >= least * (1 - 1e-12):
+        above = F.col("n") * F.lit(float(max(total, 1))) >= need * F.col("node_rows")
+        fetched = fetched.unionByName(values.filter(~F.col("leader") & above).select(*columns)).distinct()
     exact = values.join(fetched, columns, "left_semi").groupBy(*columns).agg(F.sum("n").alias("n"))
     if min_share:
         part = Fraction(min_share).limit_denominator(1_000_000)  # whole numbers: no rounding at the border

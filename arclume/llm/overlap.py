@@ -18,7 +18,7 @@ def signatures(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     name under the first seed that gives no two groups of a scope the same (checked, not assumed). Repeated rows and hot
     members fold before the shuffle; a signature is no longer than the number of groups.
     """
-    full = members.filter(F.col("grp").isNotNull() & F.col("member").isNotNull())
+    full = materialize(members.filter(F.col("grp").isNotNull() & F.col("member").isNotNull()).select("scope", "grp", "member"), "members")
     for seed in range(8):
         gid = F.xxhash64(F.col("grp"), F.lit(seed))
         groups = materialize(full.groupBy("scope", gid.alias("gid")).agg(F.min("grp").alias("grp"), F.max("grp").alias("_other")), "groups")
@@ -28,19 +28,28 @@ def signatures(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise ValueError("no seed separates the groups")
     by_member = full.groupBy("scope", "member").agg(F.sort_array(F.collect_set(gid)).alias("sig"))
     counted = by_member.groupBy("scope", "sig").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(counted, "signatures"), groups.drop("_other")
+    return materialize(counted.withColumn("_no", F.monotonically_increasing_id()), "signatures"), groups.drop("_other")
 
 
-def overlap_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _of_large(sigs: DataFrame, large: DataFrame) -> DataFrame:
+    """``sigs`` without the groups that are not in ``large`` (scope, gid); signatures that are equal then count together."""
+    own = large.select(F.col("scope").alias("_s"), F.col("gid").alias("_g"))
+    kept = sigs.select("_no", "scope", "n", F.explode("sig").alias("gid")).join(own, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("gid") == F.col("_g")), "left_semi")
+    cut = kept.groupBy("_no").agg(F.first("scope").alias("scope"), F.first("n").alias("n"), F.sort_array(F.collect_list("gid")).alias("sig"))
+    return cut.filter(F.size("sig") > 1).groupBy("scope", "sig").agg(F.sum("n").alias("n"))
+
+
+def overlap_sizes(members: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Set sizes (scope, grp, size) and overlaps (scope, grp_a, grp_b, shared, size_a, size_b; grp_a before grp_b).
 
     ``members`` is (scope, grp, member): ``member`` belongs to the set ``grp``, and sets of one scope are compared.
-    Exact; pairs that share nothing don't come out. Nulls in grp or member are no membership; a null scope is a scope.
+    Exact; pairs that share nothing don't come out, nor those with a set of fewer than ``least`` members, which leave the signatures before pairs
+    are made. Nulls in grp or member are no membership; a null scope is a scope.
     """
     sigs, groups = signatures(members)
     sizes = sigs.select("scope", F.explode("sig").alias("gid"), "n").groupBy("scope", "gid").agg(F.sum("n").alias("size"))
     sizes = materialize(sizes.join(groups, [sizes["scope"].eqNullSafe(groups["scope"]), sizes["gid"] == groups["gid"]]).select(groups["scope"], groups["gid"], "grp", "size"), "sizes")
-    many = sigs.filter(F.size("sig") > 1)
+    many = _of_large(sigs, sizes.filter(F.col("size") >= least)) if least > 1 else sigs.filter(F.size("sig") > 1)
     blocks = many.withColumn("_from", F.explode(F.sequence(F.lit(0), F.size("sig") - 2, F.lit(BLOCK))))
     blocks = blocks.repartition(F.xxhash64("scope", "sig", "_from"))
     first = blocks.select("scope", "sig", "n", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + BLOCK - 1, F.size("sig") - 2))).alias("_i"))

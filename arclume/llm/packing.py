@@ -15,6 +15,8 @@ from arclume.session import materialize, spread
 
 #: Items that one task packs at once, and containers it keeps open for the next ones.
 BLOCK, OPEN = 20_000, 2_000
+#: Attention cost of a container, as a share of the square of its capacity.
+COST_SHARE = 0.75
 #: Containers number from task << TASK_BITS.
 TASK_BITS = 36
 
@@ -89,15 +91,15 @@ def pack_documents(
     """Every document's place: (doc_id, tokens, piece, pieces, piece_tokens, container).
 
     A text stays whole unless it alone has more than ``capacity`` tokens: then its first pieces fill a container each and
-    the last piece is packed like a text. Per container at most ``max_items`` pieces and an attention cost of ``max_cost`` (default: capacity
-    squared, what one full text costs). Null and empty texts have no tokens and no container. Rows are packed as they
+    the last piece is packed like a text. Per container at most ``max_items`` pieces and an attention cost (tokens squared, summed over its pieces) of
+    ``max_cost``, by default COST_SHARE of capacity squared; a piece that alone costs more has a container of its own. Null and empty texts have no tokens and no container. Rows are packed as they
     come, repeated ids too.
 
     A task reads, measures and packs its own part of the texts in blocks of ``block``, largest first: no text is shuffled and
     only sizes are held. What stays under half full at a task's end (a container or so) is packed once more with those of
     up to 1,024 other tasks.
     """
-    max_cost = float(max_cost or capacity * capacity)
+    max_cost = float(max_cost or COST_SHARE * capacity * capacity)
     path = tokenizer or default_tokenizer()
     spark = documents.sparkSession
     kept = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
@@ -128,7 +130,7 @@ def pack_documents(
             sizes = many["piece_tokens"].to_numpy()
             for i in np.argsort(-sizes, kind="stable"):
                 t = int(sizes[i])
-                if t >= capacity:
+                if t >= capacity or t * t > max_cost:
                     at[i] = alone
                     alone += 1
                 elif t > 0:
@@ -180,6 +182,12 @@ def pack_documents(
     return done.unionByName(rest.select(*done.columns))
 
 
+def container_loads(packed: DataFrame) -> DataFrame:
+    """(container, tokens, items, cost, largest) of every container."""
+    size = F.col("piece_tokens").cast("long")
+    return packed.filter(F.col("container").isNotNull()).groupBy("container").agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("items"), F.sum(size * size).alias("cost"), F.max(size).alias("largest"))
+
+
 def container_fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row on the containers: (containers, tokens, fill)."""
     per = packed.filter(F.col("container").isNotNull()).groupBy("container").agg(F.sum("piece_tokens").alias("t"))

@@ -20,14 +20,14 @@ def p1_top_sources(spark: SparkSession, at: str) -> DataFrame:
     return frequent.frequent_values(frequent.edge_sources(spark, edges, relations, domains), ["relation_id", "src_key"], k=100)
 
 
-def _overlaps(spark: SparkSession, at: str) -> DataFrame:
+def _overlaps(spark: SparkSession, at: str, least: int = 1) -> DataFrame:
     edges, relations, domains = tables(spark, at, "edge_deltas", "graph_relations", "graph_domains")
-    return overlap.overlap_sizes(overlap.audience_members(edges, relations, domains))[1].withColumnsRenamed({"scope": "relation_id", "grp_a": "src_key_a", "grp_b": "src_key_b"})
+    return overlap.overlap_sizes(overlap.audience_members(edges, relations, domains), least)[1].withColumnsRenamed({"scope": "relation_id", "grp_a": "src_key_a", "grp_b": "src_key_b"})
 
 
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     small = F.least("size_a", "size_b")
-    return _overlaps(spark, at).filter((small >= 30) & (F.col("shared") * 2 >= small)).select("relation_id", "src_key_a", "src_key_b")
+    return _overlaps(spark, at, 30).filter(F.col("shared") * 2 >= small).select("relation_id", "src_key_a", "src_key_b")
 
 
 def p3_overlaps(spark: SparkSession, at: str) -> DataFrame:
@@ -71,6 +71,16 @@ def p6_containers(spark: SparkSession, at: str) -> DataFrame:
     return packing.pack_documents(table(spark, at, "documents"))
 
 
+def p6_loads(spark: SparkSession, at: str) -> DataFrame:
+    """One row on the containers: how many, their tokens and fill, and how many break a limit."""
+    cap, cost = 2048, packing.COST_SHARE * 2048**2
+    loads = packing.container_loads(packing.pack_documents(table(spark, at, "documents")))
+    return loads.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * cap)).alias("fill"), F.count_if(F.col("tokens") > cap).alias("over_tokens"),
+        F.count_if(F.col("items") > 256).alias("over_items"), F.count_if((F.col("cost") > cost) & (F.col("items") > 1)).alias("over_cost"), F.count_if(F.col("cost") > 0.9 * cost).alias("near_cost"),
+    )
+
+
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
     return p7_coverage(spark, at).select("doc_id", "item_id")
 
@@ -80,6 +90,12 @@ def p7_coverage(spark: SparkSession, at: str) -> DataFrame:
     return leaks.find_leaks(documents, items)
 
 
+def p7_tiled(spark: SparkSession, at: str) -> DataFrame:
+    """Items that a document's tiles cover to a third in whatever order: reordered passages come out too."""
+    documents, items = tables(spark, at, "documents", "test_items")
+    return leaks.find_leaks(documents, items, ordered=False)
+
+
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
     return sentences.sentence_units(table(spark, at, "documents"), with_text=False).select("doc_id", "sent_end")
 
@@ -88,7 +104,7 @@ def p8_sentences(spark: SparkSession, at: str) -> DataFrame:
     return sentences.sentence_units(table(spark, at, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_daily_bound": p4_daily_bound, "p4_verdicts": p4_verdicts, "p4_combinations": p4_combinations, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_top_sources": p1_top_sources, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p4_found": p4_found, "p4_daily": p4_daily, "p4_daily_bound": p4_daily_bound, "p4_verdicts": p4_verdicts, "p4_combinations": p4_combinations, "p6_found": p6_found, "p6_containers": p6_containers, "p6_loads": p6_loads, "p7_found": p7_found, "p7_coverage": p7_coverage, "p7_tiled": p7_tiled, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _SOURCES = f"SELECT e.relation_id, {key_sql('e.src_key', 'd.key_type')} AS src_key FROM edge_deltas e JOIN graph_relations r USING (relation_id) JOIN graph_domains d ON d.domain_id = r.src_domain_id"
 _SETS = f"""m AS (SELECT DISTINCT relation_id, src, tgt FROM ({edges_sql("e.op = 'I'")}) x WHERE src IS NOT NULL AND tgt IS NOT NULL

@@ -26,6 +26,8 @@ def test_frequent_values(spark, most, monkeypatch):
     assert {(r["a"], r["n"]): r["n_"] for r in got.collect()} == {k: c for k, c in want.items() if c * 250 >= len(data)}
     top = frequent.frequent_values(df, ["a", "n"], k=5)
     assert [tuple(r) for r in top.collect()] == [(*k, c) for k, c in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    # a long tail on many nodes, where no share of a node reaches one row: bounds of the leaders rule it out
+    assert [r[-1] for r in frequent.frequent_values(df.repartition(40), ["a", "n"], k=3).collect()] == sorted(want.values(), reverse=True)[:3]
     both = frequent.frequent_values(df.select("n"), ["n"], k=1, min_share=0.01)
     assert both.first()["n"] == "hot"
 
@@ -52,6 +54,8 @@ def test_overlap_sizes(spark, monkeypatch):
     assert {(r["scope"], r["grp"]): r["size"] for r in sizes.collect()} == {k: len(v) for k, v in sets.items()}
     want = {(s, a, b): (len(sets[s, a] & sets[s, b]), len(sets[s, a]), len(sets[s, b])) for (s, a), (t, b) in combinations(sorted(sets, key=repr), 2) if s == t and sets[s, a] & sets[s, b]}
     assert {(r["scope"], r["grp_a"], r["grp_b"]): (r["shared"], r["size_a"], r["size_b"]) for r in pairs.collect()} == want
+    least = overlap.overlap_sizes(spark.createDataFrame(data, "scope int, grp string, member int"), 30)[1]
+    assert {(r["scope"], r["grp_a"], r["grp_b"]): (r["shared"], r["size_a"], r["size_b"]) for r in least.collect()} == {k: v for k, v in want.items() if min(v[1:]) >= 30} != {}
     none = overlap.overlap_sizes(spark.createDataFrame([], "scope int, grp string, member int"))
     assert none[0].count() == none[1].count() == 0
 

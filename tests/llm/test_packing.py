@@ -56,6 +56,19 @@ def test_pack_documents(spark):
     assert len(halves) <= 1
 
 
+def test_cost_binds(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "tree " * rng.choice([1, 2, 5, 30, 40, 57, 60])) for i in range(400)], "doc_id long, text string")
+    packed = packing.pack_documents(df, 64)
+    check(df, packed)
+    loads = packing.container_loads(packed).collect()
+    assert all(r["cost"] <= 0.75 * 64 * 64 or r["items"] == 1 for r in loads)
+    assert any(r["cost"] > 0.75 * 64 * 64 for r in loads) and any(r["items"] > 1 for r in loads)
+    # 57 tokens leave room for 7 more, but their cost is over: they stand alone, and would not without the limit
+    assert {r["items"] for r in loads if r["largest"] in (57, 58)} == {1}
+    assert any(r["items"] > 1 for r in packing.container_loads(packing.pack_documents(df, 64, max_cost=64 * 64)).filter("largest in (57, 58)").collect())
+
+
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     none = packing.pack_documents(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
