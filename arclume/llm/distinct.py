@@ -14,8 +14,8 @@ from arclume.session import materialize
 
 #: Bits of one page of a bitmap: what the built-in bitmap aggregates hold.
 PAGE = 32768
-#: Rows a page under which a group is held as the places of its bits: as many places of four bytes fill a page.
-SPARSE = 1024
+#: Rows a page under which a group is held as the places of its bits: merging sorts a row for each, which costs more than a page beyond.
+SPARSE = 64
 #: Pages of the largest bitmap, as a power of two: beyond 10**13 values at an error of 0.01.
 MOST_DOUBLINGS = 26
 
