@@ -10,8 +10,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclume.functions.keys import with_canonical_edges, with_canonical_nodes
-from arclume.session import materialize
+from arclume.functions.keys import small_catalog, with_canonical_edges, with_canonical_nodes
+from arclume.session import Rounds, materialize
 
 #: Offsets in one segment of the log. A group (key, segment) holds at most the rows of so many offsets,
 #: however hot its key is.
@@ -77,7 +77,7 @@ def missing_as_of(refs: DataFrame, history: DataFrame, keys: Sequence[str], at:
     return dead.unionByName(late.select(*dead.columns))
 
 
-def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreign_keys: Sequence[ForeignKey], direct: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreign_keys: Sequence[ForeignKey], direct: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """Direct and inherited orphans of a foreign-key graph, cycles included.
 
     ``tables`` by name; ``row_keys`` names the column that identifies a row of each. ``direct`` gives orphans found
@@ -86,7 +86,7 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
     semi-joins the children to the rows found in the round before, until a round finds none. Comes out as
     (table_name, row_key string, fk, kind 'direct' or 'inherited', round int), one row for each orphan and key:
     an orphan's own missing references, or the key through which it first inherited; a direct orphan is not
-    listed as inherited too. More than ``max_rounds`` rounds with inherited orphans raise. Repeated rows count once; an empty table orphans all that refers to it.
+    listed as inherited too. The loop ends by itself, as every round finds new rows; more than ``max_rounds`` rounds, if given, raise. Repeated rows count once; an empty table orphans all that refers to it.
     """
     spark = next(iter(tables.values())).sparkSession
     out = "table_name string, row_key string, fk string, kind string, round int"
@@ -104,7 +104,8 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
         found.append(direct.select("table_name", F.col("row_key").cast("string").alias("row_key"), "fk", F.lit("direct").alias("kind"), F.lit(0).alias("round")))
     start = reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], out)
     new = materialize(start, "orphans")
-    rounds = [new]
+    rounds = Rounds("orphans")
+    rounds.add(new, new.count())
     for n in count(1):
         grown = []
         reached = {r[0] for r in new.select("table_name").distinct().collect()}  # names of tables, no rows
@@ -117,26 +118,23 @@ def cascade(tables: Mapping[str, DataFrame], row_keys: Mapping[str, str], foreig
         if not grown:
             break
         every = reduce(DataFrame.unionByName, grown).groupBy("table_name", "row_key").agg(F.min("fk").alias("fk"), F.min("kind").alias("kind"), F.min("round").alias("round"))
-        known = reduce(DataFrame.unionByName, rounds).select("table_name", "row_key").distinct()
+        known = rounds.all().select("table_name", "row_key").distinct()
         new = materialize(every.join(known, ["table_name", "row_key"], "left_anti"), "orphans")
-        if new.isEmpty():
+        if not (size := new.count()):
             break
-        if n > max_rounds:
+        if max_rounds is not None and n > max_rounds:
             raise RuntimeError(f"orphans are still inherited after {max_rounds} rounds")
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
+        rounds.add(new, size)
+    return rounds.all()
 
 
-#: Relations whose edge brings its target into the graph: what refers to the target depends on that edge.
-OWNING = ("userPostsPost", "userToGroup", "accountOwnsDevice")
-
-
-def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations: DataFrame, domains: DataFrame, owning: Sequence[str] = OWNING, inherited: bool = True) -> DataFrame:
+def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations: DataFrame, domains: DataFrame, owning: Sequence[str]) -> DataFrame:
     """Orphan references of the inserts of an edge log.
 
     Comes out as (delta_id, ref_field, relation_id, domain_id, day, kind, round): direct are references to a
     relation that is not in ``relations`` (domain_id is null) or to a node that is not live at the delta's
-    offset; inherited are references to a node that an orphaned edge of an ``owning`` relation brings in.
+    offset; inherited are references to a node that an orphaned edge of an ``owning`` relation (by name) brings in: its target depends on it,
+    and what refers to the target depends on both, from edge to edge until a round of the cascade finds nothing.
     A delta counts once, at its smallest offset. Null keys refer to nothing; the keys of rows without a known
     relation are not looked at; ``day`` is null without event_ts.
     """
@@ -149,7 +147,9 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
     lost = inserts.join(known, "relation_id", "left_anti").select("delta_id", "kafka_offset", "relation_id", F.lit("relation_id").alias("ref_field"), F.lit(None).cast("int").alias("domain_id"), day.alias("day"))
 
     # read by the lookup and by every round of the cascade, so its keys are made canonical once
-    keyed = materialize(with_canonical_edges(inserts, relations, domains).select("delta_id", "kafka_offset", "relation_id", "src_domain", "src", "tgt_domain", "tgt", day.alias("day")), "edges")
+    owners = small_catalog(relations.filter(F.col("relation_name").isin(*owning)).select(F.col("relation_id").alias("_owner_id")).distinct())
+    keyed = with_canonical_edges(inserts, relations, domains).join(owners, F.col("relation_id") == F.col("_owner_id"), "left")
+    keyed = materialize(keyed.select("delta_id", "kafka_offset", "relation_id", "src_domain", "src", "tgt_domain", "tgt", day.alias("day"), F.col("_owner_id").isNotNull().alias("_owner")), "edges")
     side = lambda s: F.struct(F.lit(f"{s}_key").alias("ref_field"), F.col(f"{s}_domain").alias("domain_id"), F.col(s).alias("key"))
     refs = keyed.select("delta_id", "kafka_offset", "relation_id", "day", F.inline(F.array(side("src"), side("tgt"))))
     log = with_canonical_nodes(nodes.select("delta_id", "kafka_offset", "op", "domain_id", "node_key"), domains).filter(F.col("op").isin("I", "D"))
@@ -163,13 +163,8 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
     direct = materialize(first(candidates).drop("kafka_offset"), "direct")
 
     # The cascade's foreign-key graph: edges refer to the owning edges that bring their nodes in, those to others.
-    columns = ["delta_id", "ref_field", "relation_id", "domain_id", "day"]
-    if not inherited:
-        return direct.select(*columns, F.lit("direct").alias("kind"), F.lit(0).alias("round"))
-    owners = [r[0] for r in relations.filter(F.col("relation_name").isin(*owning)).select("relation_id").distinct().limit(1000).collect()]
-    owner = F.col("relation_id").isin(owners) if owners else F.lit(False)
-    once = keyed.drop("kafka_offset")
-    tables = {"edge": once, "owner": once.filter(owner), "other": once.filter(~owner)}
+    owner = F.col("_owner")
+    tables = {"edge": keyed, "owner": keyed.filter(owner), "other": keyed.filter(~owner)}
     keys = dict.fromkeys(tables, "delta_id")
     brought = ("tgt_domain", "tgt")
     fks = [
@@ -177,14 +172,20 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame, base: DataFrame, relations:
         ForeignKey("src_key", "owner", ("src_domain", "src"), "owner", brought, lookup=False),
         ForeignKey("tgt_key", "other", ("tgt_domain", "tgt"), "owner", brought, lookup=False),
     ]
-    seeds = direct.join(once.filter(owner).select("delta_id").distinct(), "delta_id", "left_semi").select(F.lit("owner").alias("table_name"), F.col("delta_id").alias("row_key"), F.col("ref_field").alias("fk"))
-    passed = cascade(tables, keys, fks, direct=seeds).filter("kind = 'inherited'").groupBy(F.col("row_key").cast("long").alias("delta_id"), F.col("fk").alias("ref_field")).agg(F.min("round").alias("round"))
+    # direct orphans enter the cascade as what they are: as owners, too, where they are
+    as_found = lambda df, name: df.select(F.lit(name).alias("table_name"), F.col("delta_id").alias("row_key"), F.col("ref_field").alias("fk"))
+    owned = keyed.filter(owner).select("delta_id").distinct()
+    found = cascade(tables, keys, fks, direct=as_found(direct, "delta").unionByName(as_found(direct.join(owned, "delta_id", "left_semi"), "owner")))
+    found = found.select(F.col("row_key").cast("long").alias("delta_id"), F.col("fk").alias("ref_field"), "kind", "round", "table_name")
+    columns = ["delta_id", "ref_field", "relation_id", "domain_id", "day", "kind", "round"]
+    own = found.filter("kind = 'direct' AND table_name = 'delta'").drop("table_name").join(direct, ["delta_id", "ref_field"]).select(*columns)
     # one row per reference; a direct one is not listed again
-    field = once.select(
-        "delta_id", "relation_id", "day", F.inline(F.array(F.struct(F.lit("src_key").alias("ref_field"), F.col("src_domain").alias("domain_id")), F.struct(F.lit("tgt_key").alias("ref_field"), F.col("tgt_domain").alias("domain_id"))))
-    )
-    heirs = field.dropDuplicates(["delta_id", "ref_field"]).join(passed, ["delta_id", "ref_field"]).join(direct.select("delta_id", "ref_field"), ["delta_id", "ref_field"], "left_anti")
-    return direct.select(*columns, F.lit("direct").alias("kind"), F.lit(0).alias("round")).unionByName(heirs.select(*columns, F.lit("inherited").alias("kind"), "round"))
+    passed = found.filter("kind = 'inherited'").groupBy("delta_id", "ref_field").agg(F.min("round").alias("round")).join(direct.select("delta_id", "ref_field"), ["delta_id", "ref_field"], "left_anti")
+    passed = materialize(passed, "heirs")
+    side = lambda s: F.struct(F.lit(f"{s}_key").alias("ref_field"), F.col(f"{s}_domain").alias("domain_id"))
+    held = keyed.join(passed.select("delta_id").distinct(), "delta_id", "left_semi").select("delta_id", "relation_id", "day", F.inline(F.array(side("src"), side("tgt"))))
+    heirs = passed.withColumn("kind", F.lit("inherited")).join(held.dropDuplicates(["delta_id", "ref_field"]), ["delta_id", "ref_field"])
+    return own.unionByName(heirs.select(*columns))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

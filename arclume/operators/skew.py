@@ -37,16 +37,21 @@ def pack(loads: Sequence[tuple[object, float]], tasks: int) -> dict[object, int]
     return out
 
 
-def plan_fragments(left: DataFrame, key: Sequence[str], tasks: int | None = None, units_per_task: int = 16, max_units: int = 1 << 16) -> Plan:
+#: Hash units of the light keys: so many a task, but no more in all than MANY_UNITS or twice the tasks, whichever is more.
+UNITS_PER_TASK, MANY_UNITS = 16, 1 << 20
+
+
+def plan_fragments(left: DataFrame, key: Sequence[str], tasks: int | None = None) -> Plan:
     """Estimate the load of every key of ``left`` and pack the keys to tasks.
 
     Keys are hashed to units, whose rows are counted (one small row per unit reaches the driver). Only in units
     above the capacity of a task the keys themselves are counted, to find the large ones: those with more than half a task's
-    share, at most ``2 * tasks`` of them. They become shards in proportion to their rows; the rest stays whole.
+    share, at most ``2 * tasks`` of them. They become shards in proportion to their rows; the rest stays whole. Without ``tasks`` their number
+    follows the rows, which are counted first.
     """
     spark, key = left.sparkSession, list(key)
-    tasks = tasks or default_tasks(spark)
-    n_units = min(max_units, tasks * units_per_task)
+    tasks = tasks or default_tasks(spark, left.count())
+    n_units = max(2 * tasks, min(MANY_UNITS, tasks * UNITS_PER_TASK))
     unit = F.pmod(F.xxhash64(*key), F.lit(n_units)).cast("int")
     loads = {r[0]: r[1] for r in left.groupBy(unit.alias("_unit")).count().collect()}  # at most n_units rows
     total = sum(loads.values())
@@ -116,18 +121,33 @@ def live_degrees(edges: DataFrame, loaded: DataFrame, relations: DataFrame, doma
     edges have degree 0; edge_count is the sum of the known counts, each snapshot once, and null where none is known.
     Rows without a known relation or without source key belong to no source; those without a target key are no edge.
 
-    Load: sources are packed to tasks by their deltas; the deltas of a large source are split by target, so a
-    task gets at most about its share. The edge counts go to the tasks that hold sources of the relation.
+    Load: sources are packed to tasks by their deltas; the deltas of a large source are split by target, and those of a large pair of source and
+    target by delta, so a task gets at most about its share. What the tasks found of such a pair, a row each, is brought together
+    afterwards. The edge counts go to the tasks that hold sources of the relation.
     """
     needed = edges.select("relation_id", "src_key", "tgt_key", "delta_id", "kafka_offset", "op")
     keyed = with_canonical_edges(needed, relations, domains).filter(F.col("src").isNotNull()).select("relation_id", "src", "tgt", "delta_id", "kafka_offset", F.when(F.col("op") == "I", 1).otherwise(0).alias("_on"))
-    # Redelivered and repeated deltas fold before they are sent.
     keyed = materialize(keyed, "keyed")
-    plan = plan_fragments(keyed, ["relation_id", "src"], tasks)
-    here = fragment(keyed, ["relation_id", "src"], ["tgt"], plan)
-    once = here.groupBy("_task", "relation_id", "src", "tgt", "delta_id").agg(F.min(F.col("kafka_offset") * 2 + F.col("_on")).alias("_at"))
-    last = once.groupBy("_task", "relation_id", "src", "tgt").agg(F.max("_at").alias("_at"))
-    part = last.groupBy("_task", "relation_id", "src").agg(F.sum(F.when(F.col("tgt").isNotNull() & (F.col("_at") % 2 == 1), 1).otherwise(0)).alias("degree"))
+    source, pair = ["relation_id", "src"], ["relation_id", "src", "tgt"]
+    plan = plan_fragments(keyed, source, tasks)
+    # pairs with more than half a task's share: at most 2 * tasks of them, all of large sources
+    share = max(1.0, sum(plan.loads) / plan.tasks)
+    large = plan.large.select(*[F.col(c).alias(f"_{c}") for c in source])
+    counted = keyed.join(F.broadcast(large), [F.col(c) == F.col(f"_{c}") for c in source], "left_semi").groupBy(*pair).count().filter(F.col("count") > share / 2)
+    hot = keyed.sparkSession.createDataFrame(counted.select(*pair).collect(), keyed.select(*pair).schema).withColumnsRenamed({c: f"_{c}" for c in pair}) if plan.large.count() else None
+    if hot is None:
+        spread = keyed.withColumn("_hot", F.lit(False))
+    else:
+        spread = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair], "left").drop(*[f"_{c}" for c in pair]).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    spread = spread.withColumn("_by", F.when(F.col("_hot"), F.xxhash64("tgt", "delta_id")).otherwise(F.xxhash64("tgt")))
+    here = fragment(spread, source, ["_by"], plan)
+    once = here.groupBy("_task", *pair, "_hot", "delta_id").agg(F.min(F.col("kafka_offset") * 2 + F.col("_on")).alias("_at"))
+    last = once.groupBy("_task", *pair, "_hot").agg(F.max("_at").alias("_at"))
+    if hot is not None:  # a hot pair has a row for each of its tasks; the last of them counts, at one of them
+        last = materialize(last, "last")
+        joined = last.filter("_hot").groupBy(*pair, "_hot").agg(F.min("_task").alias("_task"), F.max("_at").alias("_at"))
+        last = last.filter("NOT _hot").unionByName(joined.select(*last.columns))
+    part = last.groupBy("_task", *source).agg(F.sum(F.when(F.col("tgt").isNotNull() & (F.col("_at") % 2 == 1), 1).otherwise(0)).alias("degree"))
     counts = loaded.filter(F.col("edge_count") >= 0).groupBy("snapshot_id", "relation_id").agg(F.max("edge_count").alias("edge_count")).groupBy("relation_id").agg(F.sum("edge_count").alias("edge_count"))
     part = materialize(part, "degrees")
     sent = replicate(counts, part.select("relation_id", "_task"), ["relation_id"], plan)

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arclume.session import default_tasks, materialize
+
+#: Modulus and multipliers of the linear congruential hash that sampling draws by; products stay within 64 bits.
+LCG, LCG_A, LCG_B, LCG_C = 2_147_483_647, 48_271, 16_807, 69_621
+
+
+def draw(a: Column, b: Column, seed: int) -> Column:
+    """A whole number from 0 to LCG - 1, the same for the same numbers everywhere, in SQL too."""
+    mixed = (F.pmod(a, F.lit(LCG)) * LCG_A + F.pmod(b, F.lit(LCG)) * LCG_B + seed) % LCG
+    return mixed * LCG_C % LCG
+
 
 def degree(edges: DataFrame, nodes: DataFrame, direction: str = "out") -> DataFrame:
     """(id, degree) of all ``nodes`` (id), 0 without edges; parallel edges count."""
@@ -15,11 +27,29 @@ def degree(edges: DataFrame, nodes: DataFrame, direction: str = "out") -> DataFr
     return nodes.select("id").join(counts, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_n", F.lit(0)).alias("degree"))
 
 
+def ranked(edges: DataFrame, key: str, by: str, name: str = "position", tasks: int | None = None) -> DataFrame:
+    """``edges`` with the place (from 1) of every row among those of the same ``key`` in the order of ``by``.
+
+    Rows are cut into ranges of (key, by), so a hub's rows lie in many tasks; each range is numbered on its own, and what a key has in the
+    ranges before is added. Only the keys at the borders of ranges lie in several: one a range, which is broadcast.
+    """
+    n = tasks or default_tasks(edges.sparkSession)
+    parts = materialize(edges.repartitionByRange(n, key, by).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = parts.groupBy("_part").agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
+    border = ends.select(F.explode(F.array("_a", "_b")).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
+    held = parts.join(F.broadcast(border), F.col(key).eqNullSafe(F.col("_key"))).groupBy(F.col("_part").alias("_p"), "_key").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    held = held.select("_p", "_key", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part", key).orderBy(by))
+    placed = parts.withColumn("_own", own).join(F.broadcast(held), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return placed.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0)).cast("long")).drop("_part", "_own", "_p", "_key", "_before")
+
+
 def neighbors(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """(id, position, neighbor): the neighbours of every node in ascending order, parallel edges kept. One row per edge, so that no list of a
-    hub is gathered."""
+    """(id, position, neighbor): the neighbours of every node in ascending order, parallel edges kept. One row per edge, and a hub's edges are
+    numbered by many tasks."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    return edges.select(F.col(a).alias("id"), F.row_number().over(Window.partitionBy(a).orderBy(b)).cast("long").alias("position"), F.col(b).alias("neighbor"))
+    return ranked(edges.select(F.col(a).alias("id"), F.col(b).alias("neighbor")), "id", "neighbor").select("id", "position", "neighbor")
 
 
 def pull(edges: DataFrame, frontier: DataFrame, unvisited: DataFrame) -> DataFrame:
@@ -82,19 +112,26 @@ def assert_finite(a: DataFrame, column: str = "value") -> DataFrame:
 
 
 def sample_neighbors(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Up to ``k`` edges of every source, the same for the same seed: those with the least hash of seed and edge."""
-    h = F.xxhash64(F.lit(seed), "src", "dst")
-    rn = F.row_number().over(Window.partitionBy("src").orderBy(h, "dst"))
+    """Up to ``k`` edges (src, dst) of every source, the same for the same seed: those whose draw by seed and ends is least, then by dst. Each task keeps
+    its ``k`` least of a source before the shuffle (the planner's group limit), so that a hub is no burden."""
+    rn = F.row_number().over(Window.partitionBy("src").orderBy(draw(F.col("src"), F.col("dst"), seed), "dst"))
     return edges.withColumn("_rn", rn).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def random_walk(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """(start, step, id): from every start a walk of up to ``length`` steps, each to the neighbour with the least hash of seed, start, step and
-    itself; a walk ends at a sink. The same seed gives the same walks."""
-    at = starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), F.col("id"))
-    out = at
+    """(start, step, id): from every start a walk of up to ``length`` steps, each to a neighbour drawn by seed, start and step; a walk ends at a
+    sink. The same seed gives the same walks; parallel edges count, repeated starts don't.
+
+    The edges of every source are numbered once; a step draws a number up to the degree and joins on source and number, so a walker costs
+    one row at a hub too.
+    """
+    placed = materialize(neighbors(edges), "places")
+    degrees = materialize(placed.groupBy(F.col("id").alias("_d")).agg(F.max("position").alias("_n")), "degrees")
+    at = materialize(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), F.col("id")).distinct(), "walk")
+    out = [at]
     for n in range(1, length + 1):
-        nxt = edges.select("src", "dst").join(at, F.col("src") == F.col("id"))
-        at = nxt.groupBy("start").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "start", F.lit(n), "dst").alias("h"), F.col("dst").alias("d"))).alias("_m")).select("start", F.lit(n).alias("step"), F.col("_m.d").alias("id"))
-        out = out.unionByName(at)
-    return out
+        choice = at.join(degrees, F.col("id") == F.col("_d")).select("start", F.col("id").alias("_at"), (draw(F.col("start"), F.lit(n), seed) % F.col("_n") + 1).alias("_place"))
+        nxt = choice.join(placed, (F.col("_at") == F.col("id")) & (F.col("_place") == F.col("position")))
+        at = materialize(nxt.select("start", F.lit(n).alias("step"), F.col("neighbor").alias("id")), "walk")
+        out.append(at)
+    return reduce(DataFrame.unionByName, out)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from arclume.functions import cel
 from arclume.functions.projection import Projection, parse_projections
 from arclume.plans import ast
-from arclume.session import materialize, reusable
+from arclume.session import Rounds, materialize, reusable
 from arclume.sources.snapshot import GraphSnapshot, Relation
 
 
@@ -273,22 +273,21 @@ class Lowerer:
             if (kept := reusable(r.edges, "loop")) is not r.edges:
                 self.snap = replace(self.snap, relations={**self.snap.relations, r.name: replace(r, edges=kept)})
         start = materialize(f.df.select(*keys).distinct(), "closure")
-        reached = [start]
+        reached = Rounds("closure")
+        reached.add(start, start.count())
         new = Frontier(start, f.domain, f.batch)
         for _ in range(max_rounds):
             nxt = self.steps(new, step.steps)
             if nxt.domain != f.domain and f.domain is not None:
                 raise ValueError(f"a loop must end in {f.domain}, not in {nxt.domain}")
-            hits = nxt.df.select(*keys)
-            known = reduce(DataFrame.unionByName, reached)
-            fresh = materialize(hits.join(known, keys, "left_anti"), "closure")
-            if fresh.isEmpty():
+            fresh = materialize(nxt.df.select(*keys).join(reached.all(), keys, "left_anti").distinct(), "closure")
+            if not (size := fresh.count()):
                 break
-            reached.append(fresh)
+            reached.add(fresh, size)
             new = Frontier(fresh, f.domain, f.batch)
         else:
             raise ValueError(f"not stable after {max_rounds} rounds")
-        every = reduce(DataFrame.unionByName, reached)
+        every = reached.all()
         if not step.include_seed:
             # a seed belongs to it only if some walk leads back to it
             again = self.steps(Frontier(every, f.domain, f.batch), step.steps).df.select(*keys).distinct()

@@ -5,6 +5,8 @@ import pytest
 from arclume.operators.orphans import ForeignKey, cascade, edge_orphans, missing_as_of, orphan_report
 from helpers import rows
 
+OWNING = ["userPostsPost"]
+
 
 @pytest.mark.parametrize("segment", [4, 7, 1 << 20])
 def test_missing_as_of_against_brute_force(spark, segment):
@@ -69,11 +71,25 @@ def test_edge_orphans(spark):
         ],
         "delta_id long, kafka_offset long, op string, relation_id int, src_key string, tgt_key string, event_ts string",
     ).withColumn("event_ts", __import__("pyspark").sql.functions.to_timestamp("event_ts"))
-    got = edge_orphans(edges, nodes, base, relations, domains)
+    got = edge_orphans(edges, nodes, base, relations, domains, OWNING)
     assert rows(got.filter("kind = 'direct'").select("delta_id", "ref_field")) == [(1, "src_key"), (3, "src_key"), (4, "relation_id"), (7, "tgt_key")]
     assert rows(got.filter("kind = 'inherited'").select("delta_id", "ref_field")) == [(8, "tgt_key")]
     assert {r["day"] is None for r in got.filter("delta_id = 3").collect()} == {True}
     assert orphan_report(got).agg({"refs": "sum"}).first()[0] == 5
-    empty = edge_orphans(edges.limit(0), nodes.limit(0), base.limit(0), relations, domains)
+    empty = edge_orphans(edges.limit(0), nodes.limit(0), base.limit(0), relations, domains, OWNING)
     assert empty.count() == 0
-    assert edge_orphans(edges, nodes.limit(0), base.limit(0), relations.limit(0), domains).filter("ref_field = 'relation_id'").count() == 6
+    assert edge_orphans(edges, nodes.limit(0), base.limit(0), relations.limit(0), domains, OWNING).filter("ref_field = 'relation_id'").count() == 6
+
+
+def test_orphans_pass_down_a_chain(spark):
+    """The nodes exist, but the edges that bring them in hang on a lost user: each step down the chain inherits a round later; many owning relations."""
+    n = 1_100
+    relations = spark.createDataFrame([(i, f"r{i}", 1, 1) for i in range(n)], "relation_id int, relation_name string, src_domain_id int, tgt_domain_id int")
+    domains = spark.createDataFrame([(1, "N", "int64")], "domain_id int, domain_name string, key_type string")
+    base = spark.createDataFrame([(1, str(k)) for k in range(1, 12)], "domain_id int, node_key string")
+    nodes = spark.createDataFrame([], "delta_id long, kafka_offset long, op string, domain_id int, node_key string")
+    chain = [(i, 100 + i, "I", n - 1 - i, str(i), str(i + 1), None) for i in range(10)]  # 0 is lost
+    edges = spark.createDataFrame(chain, "delta_id long, kafka_offset long, op string, relation_id int, src_key string, tgt_key string, event_ts timestamp")
+    got = edge_orphans(edges, nodes, base, relations, domains, [f"r{i}" for i in range(n)])
+    assert rows(got.select("delta_id", "ref_field", "kind", "round")) == sorted([(0, "src_key", "direct", 0)] + [(i, "src_key", "inherited", i) for i in range(1, 10)], key=repr)
+    assert edge_orphans(edges, nodes, base, relations, domains, []).count() == 1

@@ -63,3 +63,22 @@ def test_live_degrees(spark):
     assert {(r["relation_id"], r["src_key"]): r["degree"] for r in got.collect()} == dict(want)
     assert {(r["relation_id"], r["edge_count"]) for r in got.collect()} == {(1, 4), (2, None)}
     assert live_degrees(edges.limit(0), loaded.limit(0), relations, domains).count() == 0
+
+
+def test_hot_pair_is_split(spark):
+    """A third of all deltas are of one source and target, the last of them a delete or not."""
+    relations = spark.createDataFrame([(1, "r", 1, 1)], "relation_id int, relation_name string, src_domain_id int, tgt_domain_id int")
+    domains = spark.createDataFrame([(1, "A", "string")], "domain_id int, domain_name string, key_type string")
+    loaded = spark.createDataFrame([(1, 1, 3)], "snapshot_id long, relation_id int, edge_count long")
+    for op in "ID":
+        log = [(i, 1, "hot" if i % 3 < 2 else f"s{i}", "one" if i % 3 == 0 else f"t{i}", "ID"[i % 2], 10 * i) for i in range(3000)]
+        log += [(9000, 1, "hot", "one", op, 90_000), (9000, 1, "hot", "one", op, 95_000), (1500, 1, "hot", "one", "I", 99_000)]
+        edges = spark.createDataFrame(log, "delta_id long, relation_id int, src_key string, tgt_key string, op string, kafka_offset long").repartition(5)
+        got = {r["src_key"]: r["degree"] for r in live_degrees(edges, loaded, relations, domains, tasks=8).collect()}
+        assert got["hot"] == sum(i % 3 == 1 and i % 2 == 0 for i in range(3000)) + (op == "I")
+        assert len(got) == 1001
+
+
+def test_units_follow_tasks(spark):
+    plan = plan_fragments(spark.range(10).withColumnRenamed("id", "k"), ["k"], tasks=100_000)
+    assert plan.n_units >= 2 * plan.tasks
