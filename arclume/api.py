@@ -7,7 +7,7 @@ import threading
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -153,9 +153,12 @@ class Traversal:
     def to_key_set(self) -> set[str]:
         return set(self.to_key_list())
 
-    def explain(self) -> str:
-        """The plan as an S-expression, which parses back."""
-        return sexpr.show(self.query)
+    def explain(self, physical: bool = False) -> str:
+        """The plan as an S-expression, which parses back; ``physical``: the plan that runs."""
+        if not physical:
+            return sexpr.show(self.query)
+        df = self.df()
+        return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 @dataclass(frozen=True)
@@ -201,26 +204,42 @@ class DomainView:
 
 
 class RowReader:
-    """A cursor over a result with one id per row, in ascending order."""
+    """A cursor over the rows of a result. Columns go by number or name; ``alias`` is another name of the column id."""
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, alias: str = "id") -> None:
         self.rows: Iterator[Row] = df.toLocalIterator()
-        self.names, self.row = [name], None
+        self.names, self.alias, self.row = df.columns, alias, None
 
     def next(self) -> bool:
         self.row = next(self.rows, None)
         return self.row is not None
 
-    def get_long(self, column: int | str = 0) -> int:
-        return int(self.row[column if isinstance(column, int) else 0])
+    def value(self, column: int | str = 0) -> Any:  # noqa: ANN401
+        if self.row is None:
+            raise LookupError("no row; next() comes first")
+        if isinstance(column, int):
+            return self.row[column]
+        name = "id" if column == self.alias and column not in self.names else column
+        if name not in self.names:
+            raise KeyError(f"no column {column}; there are {', '.join(self.names)}")
+        return self.row[name]
+
+    def get_long(self, column: int | str = 0) -> int | None:
+        v = self.value(column)
+        return None if v is None else int(v)
 
     get_node_id = get_long
 
-    def get_double(self, column: int | str = 0) -> float:
-        return float(self.get_long(column))
+    def get_double(self, column: int | str = 0) -> float | None:
+        v = self.value(column)
+        return None if v is None else float(v)
+
+    def get_string(self, column: int | str = 0) -> str | None:
+        v = self.value(column)
+        return None if v is None else str(v)
 
-    def get_string(self, column: int | str = 0) -> str:
-        return str(self.get_long(column))
+    def is_null(self, column: int | str = 0) -> bool:
+        return self.value(column) is None
 
 
 ARROW = re.compile(r"\s*(?:(?:FROM\s+)?(\w+)\s+WHERE\s+(\w+)\s*(?:=|IN)\s*([$@]\w+|\d+|'[^']*')|FROM\s+(\w+)|[$@](\w+))\s*", re.I)
@@ -283,7 +302,8 @@ class Statement:
         return compile_query(self.query, self.snap, self.bindings, _FUNCTIONS)
 
     def execute(self) -> RowReader:
-        return RowReader(self.df().orderBy("id"), f"{(self.query.domain or 'node').lower()}_id")
+        df = self.df()
+        return RowReader(df.orderBy("id") if "id" in df.columns else df, f"{(self.query.domain or 'node').lower()}_id")
 
     def execute_scalar(self) -> int:
         df = self.df()
@@ -327,91 +347,150 @@ class TypedBuilder:
 
 @dataclass
 class Metrics:
-    """Counters and latencies of compiled queries."""
+    """Counters, and latencies of compilations and of runs."""
 
     counts: Counter = field(default_factory=Counter)
     buckets: tuple[float, ...] = (0.001, 0.01, 0.1, 1, 10, 60, 600)
-    latency: Counter = field(default_factory=Counter)
+    latency: dict[str, Counter] = field(default_factory=lambda: {"compile": Counter(), "query": Counter()})
+    seconds: Counter = field(default_factory=Counter)
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
-    def observe(self, seconds: float) -> None:
-        self.counts["queries"] += 1
-        self.latency[next((b for b in self.buckets if seconds <= b), float("inf"))] += 1
+    def count(self, name: str) -> None:
+        with self.lock:
+            self.counts[name] += 1
+
+    def observe(self, what: str, seconds: float) -> None:
+        with self.lock:
+            self.latency[what][next((b for b in self.buckets if seconds <= b), float("inf"))] += 1
+            self.seconds[what] += seconds
 
     def exposition(self) -> str:
-        """The counters as Prometheus text."""
-        lines = [f"arclume_{k}_total {v}" for k, v in sorted(self.counts.items())]
-        total = 0
-        for b in (*self.buckets, float("inf")):
-            total += self.latency[b]
-            lines.append(f'arclume_compile_seconds_bucket{{le="{b}"}} {total}')
+        """The counters and histograms as Prometheus text."""
+        with self.lock:
+            lines = []
+            for k, v in sorted(self.counts.items()):
+                lines += [f"# TYPE arclume_{k}_total counter", f"arclume_{k}_total {v}"]
+            for what, latency in self.latency.items():
+                name, total = f"arclume_{what}_seconds", 0
+                lines.append(f"# TYPE {name} histogram")
+                for b in (*self.buckets, float("inf")):
+                    total += latency[b]
+                    lines.append(f'{name}_bucket{{le="{"+Inf" if b == float("inf") else b}"}} {total}')
+                lines += [f"{name}_sum {self.seconds[what]:.6f}", f"{name}_count {total}"]
         return "\n".join(lines) + "\n"
 
 
+def _texts(value: Any) -> Iterator[str]:  # noqa: ANN401
+    """All texts in a query."""
+    if isinstance(value, str):
+        yield value
+    elif is_dataclass(value):
+        for f in fields(value):
+            yield from _texts(getattr(value, f.name))
+    elif isinstance(value, (list, tuple)):
+        for v in value:
+            yield from _texts(v)
+
+
+def parameters(query: ast.Query) -> set[str]:
+    """Names of the parameters that ``query`` may ask for."""
+    found = {n for t in _texts(query.steps) for n in re.findall(r"[@$]([A-Za-z_]\w*)", t)}
+    return found | ({str(query.seed.values)} if query.seed.kind == "param" else set())
+
+
 class QueryRegistry:
-    """Named queries, snapshots by version, and plans kept per query, parameters and version.
+    """Named queries, snapshots by version, and plans kept per query, parameters and snapshot.
 
-    ``swap`` lets a snapshot in only if every registered query compiles against it; DataFrames built before keep reading the old one.
-    ``drain`` waits until no query that entered an old version is left.
+    ``swap`` lets a snapshot in only if every registered query compiles against it; from then on all queries run on it, and DataFrames built
+    before keep reading the old one. ``drain`` waits until no query that entered an old version is left.
     """
 
     def __init__(self, snap: GraphSnapshot) -> None:
         self.snap, self.queries, self.plans, self.metrics = snap, {}, {}, Metrics()
+        self.serial = 0  # of the snapshot: versions may be equal
+        self.entered: dict[int, int] = {0: snap.version}
         self.active: Counter = Counter()
         self.lock = threading.Condition()
 
     def register(self, name: str, query: ast.Query | str | Traversal) -> ast.Query:
+        """Set the query of ``name``; plans of an earlier one go."""
         query = parse_statement(query) if isinstance(query, str) else query.query if isinstance(query, Traversal) else query
-        self.queries[name] = query
+        with self.lock:
+            self.queries[name] = query
+            self.plans = {k: v for k, v in self.plans.items() if k[0] != name}
         return query
 
     def validate(self, snap: GraphSnapshot, params: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, str]:
-        """The queries that ``snap`` can't answer, with the reasons."""
+        """The queries that ``snap`` can't answer, with the reasons. Every query is compiled; parameters that ``params`` doesn't give are tried as a
+        number, a text and a list."""
         failed = {}
-        for name, q in self.queries.items():
-            try:
-                for r in q.relations():
-                    snap.relation(r)
-                if q.seed.kind != "param" or (params or {}).get(name):
-                    compile_query(q, snap, (params or {}).get(name), _FUNCTIONS)
-            except Exception as e:  # noqa: BLE001
-                failed[name] = str(e)
+        for name, q in dict(self.queries).items():
+            given = dict((params or {}).get(name) or {})
+            missing = parameters(q) - set(given) - set(dict(q.params))
+            own = q.seed.kind == "param" and str(q.seed.values) in missing
+            tries = [{**dict.fromkeys(missing, v), **({str(q.seed.values): 0} if own else {}), **given} for v in ((0, "", [0]) if missing else (0,))]
+            reasons = []
+            for values in tries:
+                try:
+                    for r in q.relations():
+                        snap.relation(r)
+                    compile_query(q, snap, values, _FUNCTIONS)
+                    break
+                except Exception as e:  # noqa: BLE001
+                    reasons.append(str(e))
+            else:
+                failed[name] = reasons[0]
         return failed
 
     def swap(self, snap: GraphSnapshot, params: Mapping[str, Mapping[str, Any]] | None = None) -> None:
         if failed := self.validate(snap, params):
             raise ValueError(f"snapshot {snap.version} is kept out: {failed}")
         with self.lock:
-            self.snap = snap
-            self.plans = {k: v for k, v in self.plans.items() if k[2] == snap.version}
-            self.metrics.counts["swaps"] += 1
+            self.snap, self.serial, self.plans = snap, self.serial + 1, {}
+            self.entered[self.serial] = snap.version
+        self.metrics.count("swaps")
+
+    def _df(self, name: str, snap: GraphSnapshot, serial: int, params: Mapping[str, Any]) -> DataFrame:
+        key = (name, repr(sorted(params.items())), serial)
+        with self.lock:
+            query, kept = self.queries[name], self.plans.get(key)
+        if kept is not None:
+            self.metrics.count("cache_hits")
+            return kept
+        self.metrics.count("cache_misses")
+        began = time.perf_counter()
+        df = compile_query(query, snap, params, _FUNCTIONS)
+        self.metrics.observe("compile", time.perf_counter() - began)
+        with self.lock:
+            if serial == self.serial and self.queries.get(name) is query:
+                self.plans[key] = df
+        return df
 
     def df(self, name: str, **params: Any) -> DataFrame:  # noqa: ANN401
-        snap = self.snap
-        key = (name, repr(sorted(params.items())), snap.version)
-        if key in self.plans:
-            self.metrics.counts["cache_hits"] += 1
-            return self.plans[key]
-        self.metrics.counts["cache_misses"] += 1
-        began = time.time()
-        self.plans[key] = compile_query(self.queries[name], snap, params, _FUNCTIONS)
-        self.metrics.observe(time.time() - began)
-        return self.plans[key]
+        with self.lock:
+            snap, serial = self.snap, self.serial
+        return self._df(name, snap, serial, params)
 
     def __call__(self, name: str, action: Callable[[DataFrame], Any], **params: Any) -> Any:  # noqa: ANN401
-        """Run ``action`` on the query's DataFrame, counted as active on its version."""
+        """Run ``action`` on the query's DataFrame, counted as active on its snapshot and timed."""
         with self.lock:
-            version = self.snap.version
-            self.active[version] += 1
+            snap, serial = self.snap, self.serial
+            self.active[serial] += 1
+        began = time.perf_counter()
         try:
-            return action(self.df(name, **params))
+            return action(self._df(name, snap, serial, params))
         finally:
+            self.metrics.count("queries")
+            self.metrics.observe("query", time.perf_counter() - began)
             with self.lock:
-                self.active[version] -= 1
+                self.active[serial] -= 1
                 self.lock.notify_all()
 
     def drain(self, version: int, timeout: float | None = None) -> bool:
+        """Wait until no query runs on snapshots of ``version`` but the present one, if others had it, else on any."""
         with self.lock:
-            return self.lock.wait_for(lambda: not self.active[version], timeout)
+            old = [s for s, v in self.entered.items() if v == version and s != self.serial] or [s for s, v in self.entered.items() if v == version]
+            return self.lock.wait_for(lambda: not any(self.active[s] for s in old), timeout)
 
     def health(self) -> dict[str, Any]:
         return {"version": self.snap.version, "relations": len(self.snap.relations), "queries": len(self.queries), "active": sum(self.active.values())}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arclume.operators.walks import degree
+from arclume.session import materialize
 
 
 def relation_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def attribute_statistics(df: DataFrame, attribute: str, order: str | None = None
     if not order:
         return out.withColumn("monotonic", F.lit(None).cast("string"))
     # blocks of the order, each summed up by its first, last and trend; then the blocks' borders: no task sorts all rows
-    blocks = own.filter("v IS NOT NULL").repartitionByRange("o").sortWithinPartitions("o").withColumn("_p", F.spark_partition_id())
+    blocks = materialize(own.filter("v IS NOT NULL").repartitionByRange("o").sortWithinPartitions("o").withColumn("_p", F.spark_partition_id()), "blocks")
     before = F.lag("v").over(Window.partitionBy("_p").orderBy("o"))
     inner = blocks.withColumn("_b", before).groupBy("_p").agg(F.min_by("v", "o").alias("f"), F.max_by("v", "o").alias("l"), F.bool_or(F.col("v") > F.col("_b")).alias("up"), F.bool_or(F.col("v") < F.col("_b")).alias("down"))
     edge = F.lag("l").over(Window.orderBy("_p"))  # a row per block
@@ -79,14 +80,15 @@ def equi_depth(df: DataFrame, column: str, buckets: int = 20, accuracy: int = 10
 def equi_depth_exact(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
     """``equi_depth`` exactly, from the histogram of distinct values."""
     hist = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
-    sums = parts.groupBy("_p").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # both branches must see the same ranges, so they are written
+    parts = materialize(hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_p").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
     upto = parts.withColumn("inside", F.sum("n").over(Window.partitionBy("_p").orderBy("v"))).join(F.broadcast(sums.select("_p", "base")), "_p").withColumn("upto", F.col("base") + F.col("inside"))
     total = F.broadcast(hist.agg(F.sum("n").alias("_n")))
-    b = F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("bucket")
-    ends = upto.join(total, F.lit(True)).select("v", "upto", "n", "_n", b)
-    place = F.ceil(F.col("bucket") * F.col("_n") / F.lit(buckets))
-    return ends.filter((place <= F.col("upto")) & (place > F.col("upto") - F.col("n"))).select("bucket", F.col("v").alias("upper"))
+    # bucket b ends at place ceil(b n / buckets): a value ends those whose places lie among its own
+    low, high = F.floor((F.col("upto") - F.col("n")) * buckets / F.col("_n")) + 1, F.floor(F.col("upto") * buckets / F.col("_n"))
+    ends = upto.join(total, F.lit(True)).filter(high >= low).select("upto", "v", F.explode(F.sequence(low, high)).alias("bucket"))
+    return ends.select(F.col("bucket").cast("int").alias("bucket"), F.col("v").alias("upper"))
 
 
 def heavy_hitters(df: DataFrame, column: str, k: int) -> DataFrame:

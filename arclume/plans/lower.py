@@ -129,7 +129,8 @@ class Lowerer:
     def oriented(self, rel: Relation, direction: str) -> tuple[DataFrame, str, str]:
         """Edges as (_from, _to, _e_attributes) in the direction of the walk, and the domains of both ends."""
         a, b, s, t = ("src", "dst", rel.source, rel.target) if direction != "in" else ("dst", "src", rel.target, rel.source)
-        return rel.edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), *[F.col(c).alias(f"_e_{c}") for c in rel.attributes()]), s, t
+        edges = rel.transposed if direction == "in" and rel.transposed is not None else rel.edges
+        return edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), *[F.col(c).alias(f"_e_{c}") for c in rel.attributes()]), s, t
 
     def enter(self, f: Frontier, source: str, what: str) -> None:
         if f.domain is not None and f.domain != source:

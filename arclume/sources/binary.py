@@ -1,10 +1,14 @@
-"""Binary snapshot files (layout 0.9): a reader that tasks share by ranges of edges, and a streaming writer."""
+"""Binary snapshot files (layout 0.9): a reader that tasks share by ranges of edges, and a writer whose parts tasks write."""
 
 from __future__ import annotations
 
 import binascii
+import os
+import re
+import shutil
 import struct
-from collections.abc import Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import BinaryIO
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from arclume.session import default_tasks
 from arclume.sources.snapshot import GraphSnapshot, resolve_path
 
 # Fixed values of the layout; all numbers are little-endian.
@@ -118,17 +123,36 @@ def read_catalog(path: str, verify: bool = False) -> Catalog:
         return Catalog(domains, relations, _metadata(f, size))
 
 
-def _metadata(f: BinaryIO, size: int) -> dict[str, str]:
-    f.seek(max(0, size - TRAILER.size))
+#: Metadata of single nodes: domain.<name>.id.<n> and domain.<name>.key.<key>.
+NODE_ENTRY = re.compile(r"domain\.(.+?)\.(?:id|key)\.(.*)", re.S)
+
+
+def _entries(f: BinaryIO, size: int) -> Iterator[tuple[str, str]]:
+    """The entries of the metadata footer, one after the other, however long it is; a footer cut short raises ValueError."""
+    if size < TRAILER.size:
+        return
+    f.seek(size - TRAILER.size)
     length, _, magic = TRAILER.unpack(f.read(TRAILER.size))
-    out: dict[str, str] = {}
-    if magic == MAGIC and TRAILER.size < length <= min(size, 1 << 26):
-        f.seek(size - length)
-        (n,) = struct.unpack("<i", f.read(4))
-        for _ in range(n):
-            key = f.read(struct.unpack("<H", f.read(2))[0]).decode()
-            out[key] = f.read(struct.unpack("<i", f.read(4))[0]).decode()
-    return out
+    if magic != MAGIC or not TRAILER.size < length <= size:
+        return  # no footer
+    f.seek(size - length)
+    (n,) = struct.unpack("<i", f.read(4))
+    end = size - TRAILER.size
+
+    def part(kind: str) -> str:
+        head = f.read(struct.calcsize(kind))
+        (m,) = struct.unpack(kind, head) if len(head) == struct.calcsize(kind) else (-1,)
+        if m < 0 or f.tell() + m > end:
+            raise ValueError("the metadata footer is cut short")
+        return f.read(m).decode()
+
+    for _ in range(n):
+        yield part("<H"), part("<i")
+
+
+def _metadata(f: BinaryIO, size: int) -> dict[str, str]:
+    """The metadata of the graph; those of single nodes are left to ``arclume_snapshot_keys``."""
+    return {k: v for k, v in _entries(f, size) if not NODE_ENTRY.fullmatch(k)}
 
 
 class _Range(InputPartition):
@@ -206,12 +230,48 @@ class SnapshotSource(DataSource):
         return _EdgeReader(self.options["path"], self.options["relation"], self._kinds())
 
 
+class _KeyReader(DataSourceReader):
+    """Ids and keys of a domain. Entries have no index, so one task passes the footer, holding a batch at a time."""
+
+    def __init__(self, path: str, domain: str) -> None:
+        self.path, self.prefix = path, f"domain.{domain}.id."
+
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        keys: list[str] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["_id", "_key"])
+        with open(self.path, "rb") as f:
+            for k, v in _entries(f, Path(self.path).stat().st_size):
+                if k.startswith(self.prefix) and (n := k[len(self.prefix) :]).isdigit():
+                    ids.append(int(n))
+                    keys.append(v)
+                    if len(ids) == 50_000:
+                        yield batch()
+                        ids, keys = [], []
+        yield batch()
+
+
+class SnapshotKeys(DataSource):
+    """``spark.read.format("arclume_snapshot_keys").option("path", ...).option("domain", ...)``: (_id, _key)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "arclume_snapshot_keys"
+
+    def schema(self) -> str:
+        return "_id bigint, _key string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _KeyReader(self.options["path"], self.options["domain"])
+
+
 def load_binary(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, verify: bool = False) -> GraphSnapshot:
     """The graph in a snapshot file on storage that all executors share. Keys come from the metadata (``domain.<name>.id.<n>``), else they are
     <domain>_<id>; ``types`` names the NumPy types of attributes to read."""
     path = resolve_path(path)
     cat = read_catalog(path, verify)
     spark.dataSource.register(SnapshotSource)
+    spark.dataSource.register(SnapshotKeys)
     g = GraphSnapshot(spark, metadata=dict(cat.metadata))
     sizes = {i: n for i, (_, _, n) in cat.domains.items()}
     for r in cat.relations.values():
@@ -225,9 +285,7 @@ def load_binary(spark: SparkSession, path: str, types: Mapping[str, str] | None
     for i, n in sizes.items():
         name = names.setdefault(i, f"dom_{i}")
         size = max(n, int(cat.metadata.get(f"domain.{name}.nodeCount", 0)))
-        prefix = f"domain.{name}.id."
-        keys = [(int(k[len(prefix) :]), v) for k, v in cat.metadata.items() if k.startswith(prefix) and k[len(prefix) :].isdigit()]
-        own = spark.createDataFrame(keys, "_id long, _key string")
+        own = spark.read.format("arclume_snapshot_keys").option("path", path).option("domain", name).load().dropDuplicates(["_id"])
         nodes = spark.range(size).join(own, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_key", F.concat(F.lit(f"{name}_"), F.col("id").cast("string"))).alias("key"))
         g = g.with_domain(name, nodes, key="key")
     for n, r in cat.relations.items():
@@ -235,10 +293,37 @@ def load_binary(spark: SparkSession, path: str, types: Mapping[str, str] | None
     return g
 
 
+def _parts(df: DataFrame, folder: str, encode: Callable[[pa.RecordBatch], tuple[bytes, int]]) -> tuple[list[str], int]:
+    """Write ``df``, partition by partition, as raw bytes below ``folder``: (files in the order of the partitions, entries in all). Each attempt of a task has
+    a file of its own; only those of the attempts that count come back."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = f"{folder}/{uuid.uuid4().hex}"
+        n = 0
+        with open(at, "wb") as f:
+            for b in batches:
+                data, count = encode(b)
+                f.write(data)
+                n += count
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([at]), pa.array([n], pa.int64())], names=["part", "file", "n"])
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    found = sorted(tuple(r) for r in df.mapInArrow(write, "part long, file string, n long").collect())  # a row per task
+    return [f for _, f, _ in found], sum(n for *_, n in found)
+
+
 def write_binary(snap: GraphSnapshot, path: str, transpose: bool = True, keys: bool = True, time_ms: int = 0) -> None:
     """Write ``snap`` as one snapshot file: domains, relations (edges by source, with ``transpose`` also by target) and metadata; attributes are
-    left out, as the layout's type codes are not public. Edges pass through the driver one by one in order, so memory stays bounded."""
+    left out, as the layout's type codes are not public.
+
+    Tasks write the extents and the nodes' metadata as bytes beside ``path``, which must be on storage that all executors share; the driver joins
+    the parts and adds up the row offsets, block by block, so its memory stays bounded.
+    """
     pool, places = bytearray(b"\0"), {"": 0}
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    tasks = default_tasks(snap.spark)
 
     def place(name: str) -> int:
         if name not in places:
@@ -256,57 +341,77 @@ def write_binary(snap: GraphSnapshot, path: str, transpose: bool = True, keys: b
     table = table.ljust(_padded(len(table)), b"\0")
     begin = PAGE + _padded(len(table) + RELATION.size * len(relations), PAGE)
     entries = []
-    with open(path, "wb") as f:
-        f.seek(begin)
-
-        def column(values: Iterator[int]) -> tuple[int, int]:
-            at = _padded(f.tell())
-            f.seek(at)
-            chunk: list[int] = []
-            for v in values:
-                chunk.append(v)
-                if len(chunk) == 1 << 16:
-                    np.array(chunk, "<u4").tofile(f)
-                    chunk.clear()
-            np.array(chunk, "<u4").tofile(f)
-            return at, f.tell() - at
-
-        def offsets(edges: DataFrame, end: str, n: int) -> Iterator[int]:
-            total, nxt = 0, 0
-            yield 0
-            for i, c in edges.groupBy(end).count().orderBy(end).toLocalIterator():
-                while nxt < i:
-                    yield total
-                    nxt += 1
-                total, nxt = total + c, i + 1
-                yield total
-            for _ in range(nxt, n):
-                yield total
-
-        for i, name in enumerate(relations):
-            r = snap.relations[name]
-            ends = r.edges.select("src", "dst")
-            count = ends.count()
-            if max(count, *sizes.values()) >= 1 << 32:
-                raise ValueError(f"{name}: more than 32 bits")
-            extents: list[int] = []
-            for a, b, n in [("src", "dst", sizes[r.source])] + [("dst", "src", sizes[r.target])] * transpose:
-                extents += column(offsets(ends, a, n))
-                extents += column(x[0] for x in ends.orderBy(a, b).select(b).toLocalIterator())
-            extents += [0] * (8 - len(extents))
-            entries.append(RELATION.pack(i, domains.index(r.source), domains.index(r.target), 0, 4, 4, place(name), sizes[r.source], count, int(transpose), *extents, 0))
-        meta = dict(snap.metadata)
-        for d in domains:
-            meta[f"domain.{d}.nodeCount"] = str(sizes[d])
-            if keys:
-                for i, k in snap.domains[d].nodes.select("id", F.col("key").cast("string")).toLocalIterator():
-                    if k is not None:
-                        meta[f"domain.{d}.id.{i}"], meta[f"domain.{d}.key.{k}"] = k, str(i)
-        f.seek(_padded(f.tell(), PAGE))
-        footer = struct.pack("<i", len(meta)) + b"".join(struct.pack("<H", len(k.encode())) + k.encode() + struct.pack("<i", len(v.encode())) + v.encode() for k, v in meta.items())
-        f.write(footer + TRAILER.pack(len(footer) + TRAILER.size, VERSION, MAGIC))
-        f.seek(0)
-        head = HEADER.pack(MAGIC, VERSION, PAGE, len(domains), len(relations), time_ms, 1, 0, 0, bytes(16), 0)[:62]
-        f.write(head + struct.pack("<H", crc16(head)))
-        f.seek(PAGE)
-        f.write(table + b"".join(entries))
+
+    def numbers(b: pa.RecordBatch) -> tuple[bytes, int]:
+        return b.column(0).to_numpy(zero_copy_only=False).astype("<u4").tobytes(), b.num_rows
+
+    def node_entries(b: pa.RecordBatch) -> tuple[bytes, int]:
+        out = []
+        for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            k, v = k.encode(), v.encode()
+            if len(k) >= 1 << 16:
+                raise ValueError(f"a metadata key of {len(k)} bytes")
+            out.append(struct.pack("<H", len(k)) + k + struct.pack("<i", len(v)) + v)
+        return b"".join(out), len(out)
+
+    try:
+        with open(path, "wb") as f:
+            f.seek(begin)
+
+            def joined(files: list[str]) -> None:
+                for name in files:
+                    with open(name, "rb") as part:
+                        shutil.copyfileobj(part, f, 1 << 20)
+                    os.remove(name)
+
+            for i, name in enumerate(relations):
+                r = snap.relations[name]
+                ends = r.edges.select("src", "dst")
+                count = ends.count()
+                if max(count, *sizes.values()) >= 1 << 32:
+                    raise ValueError(f"{name}: more than 32 bits")
+                extents: list[int] = []
+                for a, b, n in [("src", "dst", sizes[r.source])] + [("dst", "src", sizes[r.target])] * transpose:
+                    counted = snap.spark.range(0, n, 1, tasks).join(ends.groupBy(F.col(a).alias("_id")).count(), F.col("id") == F.col("_id"), "left")
+                    files, _ = _parts(counted.repartitionByRange(tasks, "id").sortWithinPartitions("id").select(F.coalesce("count", F.lit(0)).alias("count")), folder, numbers)
+                    at = _padded(f.tell())
+                    f.seek(at)
+                    f.write(bytes(4))  # the first row begins at 0
+                    total = 0
+                    for file in files:
+                        for first in range(0, os.path.getsize(file), 1 << 22):
+                            upto = total + np.cumsum(np.fromfile(file, "<u4", count=1 << 20, offset=first).astype(np.int64))
+                            upto.astype("<u4").tofile(f)
+                            total = int(upto[-1]) if len(upto) else total
+                        os.remove(file)
+                    extents += [at, f.tell() - at]
+                    at = _padded(f.tell())
+                    f.seek(at)
+                    joined(_parts(ends.repartitionByRange(tasks, a, b).sortWithinPartitions(a, b).select(b), folder, numbers)[0])
+                    extents += [at, f.tell() - at]
+                extents += [0] * (8 - len(extents))
+                entries.append(RELATION.pack(i, domains.index(r.source), domains.index(r.target), 0, 4, 4, place(name), sizes[r.source], count, int(transpose), *extents, 0))
+            meta = {**snap.metadata, **{f"domain.{d}.nodeCount": str(sizes[d]) for d in domains}}
+            f.seek(_padded(f.tell(), PAGE))
+            footer = f.tell()
+            f.write(bytes(4))
+            n = len(meta)
+            f.write(b"".join(struct.pack("<H", len(k.encode())) + k.encode() + struct.pack("<i", len(v.encode())) + v.encode() for k, v in meta.items()))
+            for d in domains if keys else []:
+                own = snap.domains[d].nodes.select(F.col("id").cast("string").alias("id"), F.col("key").cast("string").alias("key")).dropna()
+                pairs = F.array(F.struct(F.concat(F.lit(f"domain.{d}.id."), "id").alias("k"), F.col("key").alias("v")), F.struct(F.concat(F.lit(f"domain.{d}.key."), "key").alias("k"), F.col("id").alias("v")))
+                files, more = _parts(own.select(F.inline(pairs)), folder, node_entries)
+                joined(files)
+                n += more
+            if n >= 1 << 31:
+                raise ValueError(f"{n} metadata entries")
+            f.write(TRAILER.pack(f.tell() - footer + TRAILER.size, VERSION, MAGIC))
+            f.seek(footer)
+            f.write(struct.pack("<i", n))
+            f.seek(0)
+            head = HEADER.pack(MAGIC, VERSION, PAGE, len(domains), len(relations), time_ms, 1, 0, 0, bytes(16), 0)[:62]
+            f.write(head + struct.pack("<H", crc16(head)))
+            f.seek(PAGE)
+            f.write(table + b"".join(entries))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)

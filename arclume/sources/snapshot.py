@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -50,6 +51,7 @@ class Relation:
     """Edges of one type: ``edges`` has ``src``, ``dst`` and attributes; parallel edges are edges.
 
     ``multiplicity`` (1:1, 1:N, N:1, M:N) is a promise: at 1:1 and 1:N no target has two sources, so walks of it need no distinct.
+    ``transposed`` holds the same edges stored in the order of their targets, which walks against the edges read.
     """
 
     name: str
@@ -58,6 +60,7 @@ class Relation:
     edges: DataFrame
     multiplicity: str = "M:N"
     components: tuple[str, ...] = ()
+    transposed: DataFrame | None = None
 
     def attributes(self) -> list[str]:
         return [c for c in self.edges.columns if c not in ("src", "dst")]
@@ -101,11 +104,10 @@ class GraphSnapshot:
         parts = [self.relation(c) for c in components]
         if len({(p.source, p.target) for p in parts}) != 1:
             raise ValueError(f"{name}: components with different ends")
-        edges = None
-        for p in parts:
-            own = p.edges.withColumn("component", F.lit(p.name))
-            edges = own if edges is None else edges.unionByName(own, allowMissingColumns=True)
-        return replace(self, relations={**self.relations, name: Relation(name, parts[0].source, parts[0].target, edges, "M:N", tuple(components))})
+        union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("component", F.lit(p.name)) for p, d in zip(parts, frames)])
+        edges = union([p.edges for p in parts])
+        back = union([p.transposed for p in parts]) if all(p.transposed is not None for p in parts) else None
+        return replace(self, relations={**self.relations, name: Relation(name, parts[0].source, parts[0].target, edges, "M:N", tuple(components), back)})
 
     def with_prefix_relation(self, prefix: str) -> GraphSnapshot:
         """A virtual relation of all relations ``prefix_*``, asked for explicitly."""
@@ -171,8 +173,10 @@ class GraphSnapshot:
 
     def inspect(self) -> DataFrame:
         """Relations with ends, multiplicity, edges and attributes."""
-        rows = [(r.name, r.source, r.target, r.multiplicity, ",".join(r.attributes()), r.edges.count()) for r in self.relations.values()]
-        return self.spark.createDataFrame(rows, "relation string, source string, target string, multiplicity string, attributes string, edges long")
+        kind = "relation string, source string, target string, multiplicity string, attributes string, edges long"
+        own = lambda r: [F.lit(x).alias(n) for n, x in zip(kind.replace(" string", "").split(", "), (r.name, r.source, r.target, r.multiplicity, ",".join(r.attributes())))]
+        rows = [r.edges.agg(F.count(F.lit(1)).alias("edges")).select(*own(r), "edges") for r in self.relations.values()]
+        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], kind)
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Write the snapshot as a directory: parquet per domain and relation, sorted by source, a transposed copy sorted by target, and a catalog."""
@@ -264,6 +268,8 @@ def load_snapshot(spark: SparkSession, path: str) -> GraphSnapshot:
         snap = replace(snap, domains={**snap.domains, name: Domain(name, spark.read.parquet(f"{path}/domains/{name}"), d["key_type"])})
     for name, r in catalog["relations"].items():
         snap = snap.with_relation(name, r["source"], r["target"], spark.read.parquet(f"{path}/relations/{name}/out"), multiplicity=r["multiplicity"])
+        back = spark.read.parquet(f"{path}/relations/{name}/in")
+        snap = replace(snap, relations={**snap.relations, name: replace(snap.relations[name], transposed=back)})
     for name, r in catalog["virtual_relations"].items():
         snap = snap.with_virtual_relation(name, r["components"])
     return snap

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arclume.sources.snapshot import GraphSnapshot, load_snapshot
+from arclume.functions.keys import canonical_key
+from arclume.sources.snapshot import GraphSnapshot, dense_ids, load_snapshot
 
 DELTA_SCHEMA = "offset long, op string, kind string, name string, src_key string, dst_key string"
 
@@ -46,25 +48,51 @@ class VersionStore:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def versions(self) -> list[int]:
+    def _numbers(self, kind: str) -> list[int]:
         fs, jvm = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/published")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        return sorted(int(n) for s in fs.listStatus(at) if (n := s.getPath().getName()).isdigit()) if fs.exists(at) else []
 
-    def publish(self, snap: GraphSnapshot) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        from dataclasses import replace
+    def versions(self) -> list[int]:
+        return self._numbers("published")
 
-        replace(snap, version=version).save(f"{self.path}/v{version}")
+    def publish(self, snap: GraphSnapshot) -> int:
+        """Write ``snap`` as the next version. Its number is taken first, by creating a file that nobody else can create, so writers at the same time
+        write apart; a number whose writer failed stays unused."""
         fs, jvm = self._fs()
+        version = max([0, *self._numbers("taken"), *self.versions()])
+        while True:
+            version += 1
+            try:
+                fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/taken/{version}"), False).close()
+                break
+            except Exception as e:  # noqa: BLE001
+                if "exist" not in str(e).lower():
+                    raise
+        replace(snap, version=version).save(f"{self.path}/v{version}")
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{version}"), False).close()
         return version
 
-    def load(self, version: int | None = None) -> GraphSnapshot:
+    # deltas beside a version
+
+    def append(self, deltas: DataFrame, batch: int) -> None:
+        """Keep the deltas of a batch beside the last version. The same batch again takes its own place."""
+        deltas.write.mode("overwrite").parquet(f"{self.path}/pending/{self.versions()[-1]}/{batch}")
+
+    def pending(self, version: int) -> list[int]:
+        return self._numbers(f"pending/{version}")
+
+    def deltas(self, version: int) -> DataFrame:
+        return self.spark.read.schema(DELTA_SCHEMA).parquet(*[f"{self.path}/pending/{version}/{n}" for n in self.pending(version)])
+
+    def load(self, version: int | None = None, overlay: bool = True) -> GraphSnapshot:
+        """A version as it was published, the last one without a number. Deltas that wait beside the last version are laid over it (``overlay``)."""
         have = self.versions()
         if not have or version is not None and version not in have:
             raise FileNotFoundError(f"{self.path}: version {version if have else 'none published'}")
-        return load_snapshot(self.spark, f"{self.path}/v{version or have[-1]}")
+        at = version or have[-1]
+        snap = load_snapshot(self.spark, f"{self.path}/v{at}")
+        return compact(snap, self.deltas(at)) if overlay and at == have[-1] and self.pending(at) else snap
 
     def retain(self, keep: int) -> None:
         """Drop all but the last ``keep`` versions."""
@@ -72,50 +100,76 @@ class VersionStore:
         for v in self.versions()[:-keep]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{v}"), False)
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/pending/{v}"), True)
+
+
+def _canonical(key: Column, key_type: str) -> Column:
+    kinds = {"bigint": "int64", "long": "int64", "int": "int32", "integer": "int32", "smallint": "int32", "tinyint": "int32", "binary": "bytes"}
+    return canonical_key(key.cast("string"), F.lit(kinds.get(key_type, key_type)))
 
 
 def compact(snap: GraphSnapshot, deltas: DataFrame) -> GraphSnapshot:
     """``snap`` with node and edge deltas (DELTA_SCHEMA; kind node or edge, name of domain or relation) merged in.
 
-    New nodes get ids behind the present ones, in the order of their keys; deleted nodes leave with their edges.
+    Keys are compared in their canonical form. New nodes get ids behind the present ones, in the order of their keys. A delete of a node takes
+    all edges that it has at that offset, also if the node is inserted again later; edges inserted behind the delete stay if the node does.
     """
-    from arclume.sources.snapshot import dense_ids
-
     nodes, edges = deltas.filter("kind = 'node'"), deltas.filter("kind = 'edge'")
     out = snap
-    gone: dict[str, DataFrame] = {}
+    cut: dict[str, DataFrame] = {}  # (id, offset of the last delete) of nodes that were deleted at all
+    ids: dict[str, DataFrame] = {}
     for name, d in snap.domains.items():
-        last = fold(nodes.filter(F.col("name") == name).select("offset", "op", F.col("src_key").alias("key")), ["key"], ["offset"])
-        own = d.nodes.withColumn("key", F.col("key").cast("string"))
-        dead = last.filter("op = 'D'").select("key")
-        gone[name] = own.join(dead, "key", "left_semi").select("id")
-        top = (own.agg(F.max("id")).first()[0] if own.columns else None)
-        fresh = dense_ids(last.filter("op = 'I'").select("key").join(own.select("key"), "key", "left_anti"), "key").withColumn("id", F.col("id") + (0 if top is None else top + 1))
-        out = out.with_domain(name, own.join(dead, "key", "left_anti").unionByName(fresh, allowMissingColumns=True), key="key")
+        key = _canonical(F.col("src_key"), d.key_type)
+        mine = nodes.filter((F.col("name") == name) & key.isNotNull()).select("offset", "op", key.alias("key"))
+        last = fold(mine, ["key"], ["offset"])
+        deleted = mine.filter("op = 'D'").groupBy(F.col("key").alias("_dk")).agg(F.max("offset").alias("_off"))
+        own = d.nodes.withColumn("_ck", _canonical(F.col("key"), d.key_type)).withColumn("key", F.col("key").cast("string"))
+        dead = last.filter("op = 'D'").select(F.col("key").alias("_ck"))
+        top = own.agg(F.max("id")).first()[0]
+        fresh = dense_ids(last.filter("op = 'I'").select("key").join(own.select(F.col("_ck").alias("key")), "key", "left_anti"), "key").withColumn("id", F.col("id") + (0 if top is None else top + 1))
+        kept = own.join(dead, "_ck", "left_anti").unionByName(fresh.withColumn("_ck", F.col("key")), allowMissingColumns=True)
+        ids[name] = kept.select("_ck", "id")
+        cut[name] = own.select("_ck", "id").unionByName(fresh.select(F.col("key").alias("_ck"), "id")).join(deleted, F.col("_ck") == F.col("_dk")).select(F.col("id").alias("_cid"), "_off")
+        out = out.with_domain(name, kept.drop("_ck"), key="key", key_type=d.key_type)
     for name, r in snap.relations.items():
         if r.components:
             continue
-        a = out.domain_of(r.source).nodes.select(F.col("key").alias("_ka"), F.col("id").alias("src"))
-        b = out.domain_of(r.target).nodes.select(F.col("key").alias("_kb"), F.col("id").alias("dst"))
-        mine = edges.filter(F.col("name") == name).join(a, F.col("src_key") == F.col("_ka")).join(b, F.col("dst_key") == F.col("_kb")).select("offset", "op", "src", "dst")
-        kept = r.edges.join(gone[r.source].withColumnRenamed("id", "src"), "src", "left_anti").join(gone[r.target].withColumnRenamed("id", "dst"), "dst", "left_anti").select(*r.edges.columns)
-        out = out.with_relation(name, r.source, r.target, apply_deltas(kept, mine), multiplicity=r.multiplicity)
+        a = ids[r.source].select(F.col("_ck").alias("_ka"), F.col("id").alias("src"))
+        b = ids[r.target].select(F.col("_ck").alias("_kb"), F.col("id").alias("dst"))
+        named = edges.filter(F.col("name") == name)
+        named = named.withColumn("_sk", _canonical(F.col("src_key"), snap.domains[r.source].key_type)).withColumn("_dk", _canonical(F.col("dst_key"), snap.domains[r.target].key_type))
+        mine = named.join(a, F.col("_sk") == F.col("_ka")).join(b, F.col("_dk") == F.col("_kb")).select("offset", "op", "src", "dst")
+        kept = r.edges
+        for end, domain in (("src", r.source), ("dst", r.target)):
+            kept = kept.join(cut[domain].select(F.col("_cid").alias(end)), end, "left_anti")
+            late = mine.join(cut[domain], F.col(end) == F.col("_cid"), "left")
+            mine = late.filter(F.col("_off").isNull() | (F.col("offset") > F.col("_off")) | (F.col("op") == "D")).select("offset", "op", "src", "dst")
+        out = out.with_relation(name, r.source, r.target, apply_deltas(kept.select(*r.edges.columns), mine), multiplicity=r.multiplicity)
     for name, r in snap.relations.items():
         if r.components:
             out = out.with_virtual_relation(name, list(r.components))
     return out
 
 
-def stream_to_versions(deltas: DataFrame, store: VersionStore, checkpoint: str, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Fold a stream of deltas into new versions, one per micro-batch. The batch number is kept in the snapshot's metadata: a batch that
-    comes again after a failure is left out."""
+#: Deltas beside a version from which on they are written into the next.
+COMPACT_ROWS = 1_000_000
+
+
+def stream_to_versions(deltas: DataFrame, store: VersionStore, checkpoint: str, available_now: bool = True, interval: str = "1 minute", compact_rows: int = COMPACT_ROWS) -> StreamingQuery:
+    """Take a stream of deltas into a store of versions. A micro-batch is written beside the last version, which readers lay over it; once ``compact_rows``
+    deltas are there, they are merged into the next version, so that a batch costs its own size. The batch number is kept with both: a batch that
+    comes again after a failure takes its own place or is left out."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        snap = store.load()
-        if int(snap.metadata.get("batch", "-1")) >= number or batch.isEmpty():
+        base = store.load(overlay=False)
+        if int(base.metadata.get("batch", "-1")) >= number or batch.isEmpty():
             return
-        last = batch.agg(F.max("offset")).first()[0]
-        store.publish(compact(snap, batch).with_metadata(batch=str(number), offset=str(last)))
+        version = store.versions()[-1]
+        store.append(batch.select(*[f.split()[0] for f in DELTA_SCHEMA.split(", ")]), number)
+        waiting = store.deltas(version)
+        rows, last = waiting.agg(F.count(F.lit(1)), F.max("offset")).first()
+        if rows >= compact_rows:
+            store.publish(compact(base, waiting).with_metadata(batch=str(number), offset=str(last)))
 
     writer = deltas.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()

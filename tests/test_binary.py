@@ -70,3 +70,31 @@ def test_checksum(spark, tmp_path):
     binary.read_catalog(str(at))
     with pytest.raises(ValueError, match="checksum"):
         binary.read_catalog(str(at), verify=True)
+
+
+def test_footer_beyond_64_mb(spark, tmp_path):
+    """Every key of a large domain comes back."""
+    n = 700_000
+    at = f"{tmp_path}/big.bin"
+    g = GraphSnapshot(spark).with_domain("A", spark.range(n).selectExpr("id", "concat('a rather long key of the node ', id) AS key"), key="key")
+    binary.write_binary(g, at)
+    assert binary.read_catalog(at).metadata["domain.A.nodeCount"] == str(n)
+    with open(at, "rb") as f:
+        f.seek(-16, 2)
+        assert binary.TRAILER.unpack(f.read())[0] > 1 << 26
+    back = binary.load_binary(spark, at).domain_of("A").nodes
+    assert back.count() == n and back.filter("key != concat('a rather long key of the node ', id)").count() == 0
+    with open(at, "r+b") as f:
+        f.seek(-16, 2)
+        length = binary.TRAILER.unpack(f.read())[0]
+        f.seek(-length, 2)
+        f.write(struct.pack("<i", 1 << 30))
+    with pytest.raises(ValueError, match="cut short"):
+        binary.read_catalog(at)
+
+
+def test_no_key_no_edge(spark, tmp_path):
+    g = GraphSnapshot(spark).with_domain("A", spark.createDataFrame([(0, None), (3, "x")], "id long, key string"), key="key")
+    binary.write_binary(g.with_relation("r", "A", "A", spark.createDataFrame([], "src long, dst long")), f"{tmp_path}/a.bin")
+    back = binary.load_binary(spark, f"{tmp_path}/a.bin")
+    assert rows(back.domain_of("A").nodes) == [(0, "A_0"), (1, "A_1"), (2, "A_2"), (3, "x")] and back.relation("r").edges.count() == 0
