@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from arclume.operators.walks import degree
 from arclume.session import materialize
 
+if TYPE_CHECKING:
+    from arclume.sources.snapshot import GraphSnapshot
+
 
 def relation_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: node_count, edge_count, unique_sources, max_degree, avg_degree, stddev_degree (population), p50, p90, p99 (the degree at place
@@ -118,3 +123,63 @@ def degree_percentile(metadata_json: str | None, p: int) -> int:
     """The degree percentile that such a document holds, -1 if it is unknown."""
     value = json.loads(metadata_json or "{}").get(f"p{p}_degree")
     return -1 if value is None else int(value)
+
+
+def collect_statistics(snap: GraphSnapshot) -> DataFrame:
+    """(kind relation, domain or attribute; name; json) of all that ``snap`` holds, an attribute as <domain or relation>.<attribute>. Domains and relations are
+    read once each for all their attributes; distinct values are estimated by HyperLogLog."""
+    out = []
+
+    def entry(kind: str, name: str, one: DataFrame) -> None:
+        out.append(one.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("json")))
+
+    def attributes(owner: str, df: DataFrame, names: list[str]) -> None:
+        plain = [n for n in names if df.schema[n].dataType.typeName() not in ("array", "map", "struct", "variant", "binary")]
+        if not plain:
+            return
+        aggregates = []
+        for i, n in enumerate(plain):
+            v = F.when(~F.isnan(n), F.col(n)) if dict(df.dtypes)[n] in ("float", "double") else F.col(n)
+            aggregates.append(F.struct(F.lit(f"{owner}.{n}").alias("name"), F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value"), F.approx_count_distinct(v).alias("distinct_values")).alias("s")).alias(f"a{i}"))
+        one = df.agg(*aggregates)
+        found = one.select(F.inline(F.array(*[f"a{i}" for i in range(len(plain))])))
+        out.append(found.select(F.lit("attribute").alias("kind"), "name", F.to_json("s").alias("json")))
+
+    for d in snap.domains.values():
+        entry("domain", d.name, d.nodes.agg(F.count(F.lit(1)).alias("node_count"), F.approx_count_distinct("key").alias("distinct_keys")))
+        attributes(d.name, d.nodes, [c for c in d.nodes.columns if c not in ("id", "key")])
+    for r in snap.relations.values():
+        entry("relation", r.name, relation_statistics(r.edges, snap.domain_of(r.source).nodes))
+        attributes(r.name, r.edges, r.attributes())
+    return reduce(DataFrame.unionByName, out)
+
+
+class GraphStatistics:
+    """Collected statistics by name: as it is written, else in whatever case, else as what follows the last . or _ of a name. Several that fit raise
+    KeyError, as does none."""
+
+    def __init__(self, collected: DataFrame) -> None:
+        self.by_kind: dict[str, dict[str, dict]] = {}
+        for kind, name, text in collected.collect():  # a row per catalog entry
+            self.by_kind.setdefault(kind, {})[name] = json.loads(text)
+
+    def find(self, kind: str, name: str) -> dict:
+        have = self.by_kind.get(kind, {})
+        if name in have:
+            return have[name]
+        low = name.lower()
+        for fits in ([n for n in have if n.lower() == low], [n for n in have if n.lower().endswith((f".{low}", f"_{low}"))]):
+            if len(fits) > 1:
+                raise KeyError(f"{kind} {name} may be {', '.join(sorted(fits))}")
+            if fits:
+                return have[fits[0]]
+        raise KeyError(f"no statistics of the {kind} {name}")
+
+    def relation(self, name: str) -> dict:
+        return self.find("relation", name)
+
+    def domain(self, name: str) -> dict:
+        return self.find("domain", name)
+
+    def attribute(self, name: str) -> dict:
+        return self.find("attribute", name)

@@ -317,9 +317,8 @@ def load_manifest(spark: SparkSession, path: str) -> GraphSnapshot:
     lengths are checked in bytes, and virtual relations are built.
     """
     path = resolve_path(path)
-    with open(path, encoding="utf-8") as f:
-        man = read_manifest(f.read())
-    root = str(Path(path).parent)
+    man = read_manifest(spark.read.text(path, wholetext=True).first()[0])
+    root = path.rsplit("/", 1)[0] if "/" in path else "."
 
     def place(kind: str, name: str, entry: dict) -> str:
         if entry["file"]:

@@ -21,3 +21,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, directory: str, *names: str) -> list[DataFrame]:
     return [table(spark, directory, n) for n in names]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -6,12 +6,14 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arclume.functions.keys import canonical_key
+from arclume.session import materialize
 from arclume.sources.snapshot import GraphSnapshot, dense_ids, load_snapshot
 
 DELTA_SCHEMA = "offset long, op string, kind string, name string, src_key string, dst_key string"
@@ -103,9 +105,9 @@ class VersionStore:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/pending/{v}"), True)
 
 
-def _canonical(key: Column, key_type: str) -> Column:
-    kinds = {"bigint": "int64", "long": "int64", "int": "int32", "integer": "int32", "smallint": "int32", "tinyint": "int32", "binary": "bytes"}
-    return canonical_key(key.cast("string"), F.lit(kinds.get(key_type, key_type)))
+def _kind(key_type: str) -> str:
+    """The key type of a domain as ``canonical_key`` names it."""
+    return {"bigint": "int64", "long": "int64", "int": "int32", "integer": "int32", "smallint": "int32", "tinyint": "int32", "binary": "bytes"}.get(key_type, key_type)
 
 
 def compact(snap: GraphSnapshot, deltas: DataFrame) -> GraphSnapshot:
@@ -113,38 +115,45 @@ def compact(snap: GraphSnapshot, deltas: DataFrame) -> GraphSnapshot:
 
     Keys are compared in their canonical form. New nodes get ids behind the present ones, in the order of their keys. A delete of a node takes
     all edges that it has at that offset, also if the node is inserted again later; edges inserted behind the delete stay if the node does.
+    The deltas of all domains and relations are folded together; what each of them gets is then a filter of a written table.
     """
-    nodes, edges = deltas.filter("kind = 'node'"), deltas.filter("kind = 'edge'")
+    spark = snap.spark
+    real = [r for r in snap.relations.values() if not r.components]
+    catalog = lambda rows, columns: F.broadcast(spark.createDataFrame(rows, columns))  # noqa: E731  a row per name
+    domains = catalog([(d.name, _kind(d.key_type)) for d in snap.domains.values()], "name string, _type string")
+    nodes = deltas.filter("kind = 'node'").join(domains, "name").withColumn("key", canonical_key(F.col("src_key"), F.col("_type"))).filter("key IS NOT NULL")
+    cut = F.max(F.when(F.col("op") == "D", F.col("offset")))
+    last = nodes.groupBy("name", "key").agg(F.max(F.struct("offset", (F.col("op") == "D").alias("gone"))).alias("_r"), cut.alias("_off"))
+    last = materialize(last.select("name", "key", F.col("_r.gone").alias("gone"), "_off"), "nodes")
+    present = reduce(DataFrame.unionByName, [d.nodes.select(F.lit(d.name).alias("name"), canonical_key(F.col("key").cast("string"), F.lit(_kind(d.key_type))).alias("key"), "id") for d in snap.domains.values()])
+    present = materialize(present, "present")
+    tops = {r[0]: r[1] for r in present.groupBy("name").agg(F.max("id")).collect()}  # a row per domain
+    fresh = materialize(dense_ids(last.filter("NOT gone").select("name", "key").join(present, ["name", "key"], "left_anti"), "name", "key"), "fresh")
+    starts = {r[0]: r[1] for r in fresh.groupBy("name").agg(F.min("id")).collect()}
+    shift = catalog([(n, (tops[n] + 1 if n in tops else 0) - at) for n, at in starts.items()] or [("", 0)], "name string, _shift long")
+    fresh = fresh.join(shift, "name").select("name", "key", (F.col("id") + F.col("_shift")).alias("id"))
+    every = materialize(present.unionByName(fresh).join(last, ["name", "key"], "left").select("name", "key", "id", F.coalesce("gone", F.lit(False)).alias("gone"), "_off"), "ids")
     out = snap
-    cut: dict[str, DataFrame] = {}  # (id, offset of the last delete) of nodes that were deleted at all
-    ids: dict[str, DataFrame] = {}
     for name, d in snap.domains.items():
-        key = _canonical(F.col("src_key"), d.key_type)
-        mine = nodes.filter((F.col("name") == name) & key.isNotNull()).select("offset", "op", key.alias("key"))
-        last = fold(mine, ["key"], ["offset"])
-        deleted = mine.filter("op = 'D'").groupBy(F.col("key").alias("_dk")).agg(F.max("offset").alias("_off"))
-        own = d.nodes.withColumn("_ck", _canonical(F.col("key"), d.key_type)).withColumn("key", F.col("key").cast("string"))
-        dead = last.filter("op = 'D'").select(F.col("key").alias("_ck"))
-        top = own.agg(F.max("id")).first()[0]
-        fresh = dense_ids(last.filter("op = 'I'").select("key").join(own.select(F.col("_ck").alias("key")), "key", "left_anti"), "key").withColumn("id", F.col("id") + (0 if top is None else top + 1))
-        kept = own.join(dead, "_ck", "left_anti").unionByName(fresh.withColumn("_ck", F.col("key")), allowMissingColumns=True)
-        ids[name] = kept.select("_ck", "id")
-        cut[name] = own.select("_ck", "id").unionByName(fresh.select(F.col("key").alias("_ck"), "id")).join(deleted, F.col("_ck") == F.col("_dk")).select(F.col("id").alias("_cid"), "_off")
-        out = out.with_domain(name, kept.drop("_ck"), key="key", key_type=d.key_type)
-    for name, r in snap.relations.items():
-        if r.components:
-            continue
-        a = ids[r.source].select(F.col("_ck").alias("_ka"), F.col("id").alias("src"))
-        b = ids[r.target].select(F.col("_ck").alias("_kb"), F.col("id").alias("dst"))
-        named = edges.filter(F.col("name") == name)
-        named = named.withColumn("_sk", _canonical(F.col("src_key"), snap.domains[r.source].key_type)).withColumn("_dk", _canonical(F.col("dst_key"), snap.domains[r.target].key_type))
-        mine = named.join(a, F.col("_sk") == F.col("_ka")).join(b, F.col("_dk") == F.col("_kb")).select("offset", "op", "src", "dst")
+        mine = every.filter(F.col("name") == name)
+        kept = d.nodes.withColumn("key", F.col("key").cast("string")).join(mine.filter("gone").select("id"), "id", "left_anti")
+        added = fresh.filter(F.col("name") == name).select("id", "key")
+        out = out.with_domain(name, kept.unionByName(added, allowMissingColumns=True), key="key", key_type=d.key_type)
+
+    if not real:
+        return out
+    ends = catalog([(r.name, r.source, r.target, _kind(snap.domains[r.source].key_type), _kind(snap.domains[r.target].key_type)) for r in real], "name string, _sn string, _tn string, _st string, _tt string")
+    edges = deltas.filter("kind = 'edge'").join(ends, "name").select("name", "offset", "op", "_sn", "_tn", canonical_key(F.col("src_key"), F.col("_st")).alias("_sk"), canonical_key(F.col("dst_key"), F.col("_tt")).alias("_tk"))
+    edges = fold(edges.select("name", "_sn", "_tn", "_sk", "_tk", "offset", "op"), ["name", "_sn", "_tn", "_sk", "_tk"], ["offset"])
+    side = lambda n, k, i, o: every.filter("NOT gone").select(F.col("name").alias(n), F.col("key").alias(k), F.col("id").alias(i), F.col("_off").alias(o))
+    edges = edges.join(side("_sn", "_sk", "src", "_so"), ["_sn", "_sk"]).join(side("_tn", "_tk", "dst", "_to"), ["_tn", "_tk"])
+    alive = F.col("offset") > F.greatest(F.coalesce("_so", F.lit(-1)), F.coalesce("_to", F.lit(-1)))
+    edges = materialize(edges.filter((F.col("op") == "D") | alive).select("name", "offset", "op", "src", "dst"), "edges")
+    for r in real:
         kept = r.edges
         for end, domain in (("src", r.source), ("dst", r.target)):
-            kept = kept.join(cut[domain].select(F.col("_cid").alias(end)), end, "left_anti")
-            late = mine.join(cut[domain], F.col(end) == F.col("_cid"), "left")
-            mine = late.filter(F.col("_off").isNull() | (F.col("offset") > F.col("_off")) | (F.col("op") == "D")).select("offset", "op", "src", "dst")
-        out = out.with_relation(name, r.source, r.target, apply_deltas(kept.select(*r.edges.columns), mine), multiplicity=r.multiplicity)
+            kept = kept.join(every.filter((F.col("name") == domain) & F.col("_off").isNotNull()).select(F.col("id").alias(end)), end, "left_anti")
+        out = out.with_relation(r.name, r.source, r.target, apply_deltas(kept.select(*r.edges.columns), edges.filter(F.col("name") == r.name).drop("name")), multiplicity=r.multiplicity)
     for name, r in snap.relations.items():
         if r.components:
             out = out.with_virtual_relation(name, list(r.components))
