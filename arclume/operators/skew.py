@@ -24,6 +24,7 @@ class Plan:
     large: DataFrame
     shards: DataFrame
     loads: list[float]
+    n_large: int
 
 
 def pack(loads: Sequence[tuple[object, float]], tasks: int) -> dict[object, int]:
@@ -83,6 +84,7 @@ def plan_fragments(left: DataFrame, key: Sequence[str], tasks: int | None = None
         spark.createDataFrame([(*k, n) for k, n in split.items()], f"{types}, _shards int"),
         spark.createDataFrame([(*u[0], u[1], t) for u, t in at.items() if isinstance(u, tuple)], f"{types}, _shard int, _task int"),
         per_task,
+        len(split),
     )
 
 
@@ -134,16 +136,17 @@ def live_degrees(edges: DataFrame, loaded: DataFrame, relations: DataFrame, doma
     share = max(1.0, sum(plan.loads) / plan.tasks)
     large = plan.large.select(*[F.col(c).alias(f"_{c}") for c in source])
     counted = keyed.join(F.broadcast(large), [F.col(c) == F.col(f"_{c}") for c in source], "left_semi").groupBy(*pair).count().filter(F.col("count") > share / 2)
-    hot = keyed.sparkSession.createDataFrame(counted.select(*pair).collect(), keyed.select(*pair).schema).withColumnsRenamed({c: f"_{c}" for c in pair}) if plan.large.count() else None
-    if hot is None:
+    found = counted.select(*pair).collect() if plan.n_large else []
+    if not found:
         spread = keyed.withColumn("_hot", F.lit(False))
     else:
+        hot = keyed.sparkSession.createDataFrame(found, keyed.select(*pair).schema).withColumnsRenamed({c: f"_{c}" for c in pair})
         spread = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair], "left").drop(*[f"_{c}" for c in pair]).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     spread = spread.withColumn("_by", F.when(F.col("_hot"), F.xxhash64("tgt", "delta_id")).otherwise(F.xxhash64("tgt")))
     here = fragment(spread, source, ["_by"], plan)
     once = here.groupBy("_task", *pair, "_hot", "delta_id").agg(F.min(F.col("kafka_offset") * 2 + F.col("_on")).alias("_at"))
     last = once.groupBy("_task", *pair, "_hot").agg(F.max("_at").alias("_at"))
-    if hot is not None:  # a hot pair has a row for each of its tasks; the last of them counts, at one of them
+    if found:  # a hot pair has a row for each of its tasks; the last of them counts, at one of them
         last = materialize(last, "last")
         joined = last.filter("_hot").groupBy(*pair, "_hot").agg(F.min("_task").alias("_task"), F.max("_at").alias("_at"))
         last = last.filter("NOT _hot").unionByName(joined.select(*last.columns))
