@@ -204,11 +204,13 @@ class DomainView:
 
 
 class RowReader:
-    """A cursor over the rows of a result. Columns go by number or name; ``alias`` is another name of the column id."""
+    """A cursor over the rows of a result. Columns go by number or name; ``alias`` is the name under which the column id is listed."""
 
     def __init__(self, df: DataFrame, alias: str = "id") -> None:
         self.rows: Iterator[Row] = df.toLocalIterator()
-        self.names, self.alias, self.row = df.columns, alias, None
+        self.names = [alias if c == "id" else c for c in df.columns]
+        self.places = {**{n: i for i, n in enumerate(self.names)}, **{n: i for i, n in enumerate(df.columns)}}
+        self.row = None
 
     def next(self) -> bool:
         self.row = next(self.rows, None)
@@ -219,10 +221,9 @@ class RowReader:
             raise LookupError("no row; next() comes first")
         if isinstance(column, int):
             return self.row[column]
-        name = "id" if column == self.alias and column not in self.names else column
-        if name not in self.names:
+        if column not in self.places:
             raise KeyError(f"no column {column}; there are {', '.join(self.names)}")
-        return self.row[name]
+        return self.row[self.places[column]]
 
     def get_long(self, column: int | str = 0) -> int | None:
         v = self.value(column)
